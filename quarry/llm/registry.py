@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, simhash, substring
+from . import fingerprints, licenses, line_dedup, packing, quality_fm, rules, sentencepiece_codec, simhash, substring, toxicity
 
 QUERIES = {
+    "op1_document_fingerprints": fingerprints.query,
+    "op2_quality_classifier": quality_fm.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_sentencepiece": sentencepiece_codec.query,
     "op6_substring_dedup": substring.query,
+    "op7_best_fit_packing": packing.query,
+    "op8_toxicity": toxicity.query,
+    "op9_quality_rules": rules.query,
+    "op10_license_scan": licenses.query,
 }
 
-_OP6 = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS g FROM w, unnest(range(1, len(ws) - 33)) AS t(i)),
-rep AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
-cov AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN rep USING (g), range(35) AS r(j)),
-pos AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(p)),
-kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM pos ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id)
-SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM w LEFT JOIN kept USING (doc_id)
-"""
-
-ORACLE_SQL = {"op4_line_dedup": line_dedup.SQL, "op6_substring_dedup": _OP6}
+ORACLE_SQL = {"op4_line_dedup": line_dedup.SQL, "op6_substring_dedup": substring.SQL, "op9_quality_rules": rules.SQL}
