@@ -1,7 +1,8 @@
 """Toxicity by a convolutional text classifier in numpy.
 
-A word's embedding is the sum of two hashed embeddings, so that it is wrong only where both
-hashes collide. Filters of one, two and three words run over the text; the largest response of each
+A word's embedding is the sum of four hashed embeddings: of the word by two hashes, so that it
+is wrong only where both collide, and of its first four and first six bytes, so that inflected forms
+share what they have in common. Filters of one, two and three words run over the text; the largest response of each
 goes through a linear layer. Embeddings start at zero: words that training never met say nothing.
 The net is trained on a bounded sample of labelled rows (`rows_per_class` of each class,
 weighted back to the classes' true shares) and applied to every whole text on the executors. For
@@ -26,25 +27,29 @@ from pyspark.sql import functions as F
 from . import common, sampling, textkit
 
 U = np.uint64
-HASH_BITS, DIMENSIONS, FILTERS, WIDTHS = 15, 16, 16, (1, 2, 3)
+HASH_BITS, DIMENSIONS, FILTERS, WIDTHS = 16, 16, 16, (1, 2, 3)
+PREFIXES = (4, 6)
+TABLES = 2 + len(PREFIXES)
 ROWS_PER_CLASS = 2500
 THRESHOLD = 0.5
 SLICE_BYTES = 1 << 20
 
 
 def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(words x 2 hashed ids, document of each word)."""
+    """(words x TABLES hashed ids, document of each word)."""
     buf, off = textkit.flat(texts)
     buf = textkit.LOWER[buf]
     s, e, doc = textkit.words(buf, off, textkit.NON_ALNUM)
     h = textkit.word_hashes(buf, s, e)
-    return np.stack([h >> U(64 - HASH_BITS), h & U((1 << HASH_BITS) - 1)], 1).astype(np.int32), doc
+    low = U((1 << HASH_BITS) - 1)
+    starts = [textkit.word_hashes(buf, s, np.minimum(e, s + k)) >> U(20) & low for k in PREFIXES]
+    return np.stack([h >> U(64 - HASH_BITS), h & low, *starts], 1).astype(np.int32), doc
 
 
 class Net:
     def __init__(self, share: float):
         rng = np.random.default_rng(3)
-        self.emb = np.zeros((2, 1 << HASH_BITS, DIMENSIONS), np.float32)
+        self.emb = np.zeros((TABLES, 1 << HASH_BITS, DIMENSIONS), np.float32)
         self.filters = [rng.normal(0, 1 / np.sqrt(DIMENSIONS * w), (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.shift = np.full(len(WIDTHS) * FILTERS, 0.1, np.float32)
         self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
@@ -54,7 +59,9 @@ class Net:
     def responses(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(embedded words, responses of all filters where each word begins a window); a window that
         leaves its document goes on in zeros."""
-        x = self.emb[0][ids[:, 0]] + self.emb[1][ids[:, 1]]
+        x = self.emb[0][ids[:, 0]]
+        for t in range(1, TABLES):
+            x += self.emb[t][ids[:, t]]
         y = x @ np.concatenate([f[o] for f in self.filters for o in range(len(f))], 1)
         r = np.empty((len(x), len(self.shift)), np.float32)
         at = 0
@@ -82,7 +89,7 @@ class Net:
         rng = np.random.default_rng(9)
         params = [*self.filters, self.shift, self.out, self.bias]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-        squares = np.full((2, 1 << HASH_BITS), 1e-8, np.float32)
+        squares = np.full((TABLES, 1 << HASH_BITS), 1e-8, np.float32)
         step = 0
         for _ in range(epochs):
             order = rng.permutation(len(y))
@@ -125,7 +132,7 @@ class Net:
                     p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
                 pos, change = np.concatenate(touched), np.concatenate(changes)
                 live = np.flatnonzero(np.abs(change).sum(1))
-                for t in (0, 1):  # one step size a row, from its summed squares
+                for t in range(TABLES):  # one step size a row, from its summed squares
                     rows_t, inverse = np.unique(ids[pos[live], t], return_inverse=True)
                     grad = np.zeros((len(rows_t), DIMENSIONS), np.float32)
                     np.add.at(grad, inverse, change[live])
