@@ -1,7 +1,11 @@
-"""Named queries of the library, with DuckDB SQL for each that SQL can express."""
+"""Named queries of the library, with DuckDB SQL for each that SQL can express.
+
+A query's name starts with the identifier of the operator it applies.
+"""
 
 from __future__ import annotations
 
+from . import projections, scans, text  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "corpus_audit"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
