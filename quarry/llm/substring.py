@@ -35,7 +35,7 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 def _squeeze(*parts: np.ndarray) -> tuple[int, bytes]:
     """Byte planes of the arrays, compressed."""
-    raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in parts)
+    raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in parts)
     return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
 
 
