@@ -1,12 +1,16 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi.
 
-A text is encoded as the segmentation into vocabulary pieces with the largest sum of piece scores
-(unigram decoding of the model file's pieces and scores; of equal sums, the one with the longest last
-piece, as the public library does). A word is marked by the spaces before it, and no
-piece reaches over a word's end, so each distinct marked word is solved once: the words are sorted,
-which is the depth-first order of their trie, and the forward scores of the characters that a word
-shares with the one before it are kept. Characters outside the vocabulary become byte pieces, so
-decoding gives back every text exactly, the mark character U+2581 included.
+A word is marked by the spaces before it, and no piece reaches over a word's end, so each distinct
+marked word is solved once: the words are sorted, which is the depth-first order of their trie, and
+the forward states of the characters that a word shares with the one before it are kept. A forward
+state is the best segmentation of a prefix: its score, its last piece and where that starts.
+
+For a unigram model the best is the largest sum of piece scores. A byte-pair model's segmentation is
+not that of the largest sum: there the lattice is constrained to pairs of pieces that merging
+leaves as they are (found once a pair, by merging their text), and a sequence is the model's own if all
+its neighbours are such pairs, so one path to each prefix is left and the result is that of
+the public library. Characters outside the vocabulary become byte pieces, so decoding gives back
+every text exactly, the mark character U+2581 included.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text; repeated rows
 and ties get equal pieces; a null id stays null; an empty table gives an empty result.
@@ -39,13 +43,45 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
+def _varint(b: bytes, i: int) -> tuple[int, int]:
+    x = shift = 0
+    while True:
+        x |= (b[i] & 127) << shift
+        shift += 7
+        i += 1
+        if b[i - 1] < 128:
+            return x, i
+
+
+def _fields(b: bytes) -> Iterator[tuple[int, bytes | int]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    i = 0
+    while i < len(b):
+        tag, i = _varint(b, i)
+        if tag & 7 == 0:
+            value, i = _varint(b, i)
+        else:
+            n, i = _varint(b, i) if tag & 7 == 2 else (4 if tag & 7 == 5 else 8, i)
+            value, i = b[i : i + n], i + n
+        yield tag >> 3, value
+
+
+def is_byte_pair(model: bytes) -> bool:
+    """Whether the model file's trainer section (field 2) names its type (field 3) as byte pairs (2)."""
+    return any(n == 3 and v == 2 for number, part in _fields(model) if number == 2 for n, v in _fields(part))
+
+
 class Codec:
     """A model file's pieces and scores, for encoding and decoding."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None = None, model: bytes | None = None):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = model or open(path, "rb").read()
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.byte_pair = is_byte_pair(model)
+        self.scores: dict[str, float] = {}
+        self.follows: dict[tuple[int, int], bool] = {}
         n = sp.vocab_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = [-1] * 256
@@ -67,15 +103,38 @@ class Codec:
                 for c in reversed(p):
                     node = node.setdefault(c, {})
                 node[""] = (sp.get_score(i), i)
+                self.scores[p] = sp.get_score(i)
         if -1 in self.bytes:
             raise ValueError("the model has no byte pieces")
         self.unknown = least - 10
         self.words: dict[str, bytes] = {}
 
+    def merged(self, text: str) -> list[str]:
+        """Byte-pair merging: of neighbours that join to a piece, those with the best score, the leftmost first."""
+        parts, scores = list(text), self.scores
+        while len(parts) > 1:
+            best, at = max(((scores[parts[i] + parts[i + 1]], -i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in scores), default=(0, 1))
+            if at > 0:
+                break
+            parts[-at : -at + 2] = [parts[-at] + parts[-at + 1]]
+        return parts
+
+    def _may_follow(self, a: int, b: int) -> bool:
+        """Whether merging leaves piece b after piece a as they are; -1 is the start or a foreign character."""
+        if a < 0:
+            if (found := self.follows.get((-1, b))) is None:
+                found = self.follows[-1, b] = self.merged(self.pieces[b]) == [self.pieces[b]]
+            return found
+        if (found := self.follows.get((a, b))) is None:
+            if len(self.follows) > KEPT_WORDS * 5:
+                self.follows.clear()
+            found = self.follows[a, b] = self.merged(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+        return found
+
     def _solve(self, words: list[str]) -> None:
         """Adds the ids of sorted distinct marked words; forward scores of a shared prefix stay."""
         best, back = [0.0], [(0, -1)]  # of each prefix: its score; where its last piece starts, and the piece
-        before, trie, unknown, solved = "", self.trie, self.unknown, self.words
+        before, trie, unknown, solved, pairs = "", self.trie, self.unknown, self.words, self.byte_pair
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
@@ -90,6 +149,11 @@ class Codec:
                         break
                     start -= 1
                     if piece := node.get(""):
+                        if pairs:
+                            if self._may_follow(back[start][1], piece[1]):
+                                place = (start, piece[1])
+                                break
+                            continue
                         score = best[start] + piece[0]
                         if score >= top or start == end - 1:
                             top, place = score, (start, piece[1])
