@@ -235,16 +235,19 @@ def _(t):
     return t("events").groupBy("user_id").agg(r6(F.when(enough, F.avg("value") - half)).alias("lo"), r6(F.when(enough, F.avg("value") + half)).alias("hi"))
 
 
-_R = f"(SELECT dim, vec_id, rank() OVER (PARTITION BY dim ORDER BY x) + (count(*) OVER (PARTITION BY dim, x) - 1) / 2 AS r FROM {_LONG} WHERE dim < 6)"
+_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_RANKED = "(SELECT l_returnflag, " + ", ".join(f"rank() OVER (PARTITION BY l_returnflag ORDER BY {c}) + (count(*) OVER (PARTITION BY l_returnflag, {c}) - 1) / 2 AS {c}" for c in _COLUMNS) + " FROM lineitem)"
 
 
-@query("evl24_spearman_matrix", f"SELECT a.dim AS i, b.dim AS j, round(corr(a.r, b.r), 6) AS rho FROM {_R} a JOIN {_R} b USING (vec_id) GROUP BY 1, 2")
+@query("evl24_spearman_matrix", " UNION ALL ".join(f"SELECT l_returnflag, '{a}' AS i, '{b}' AS j, round(corr({a}, {b}), 6) AS rho FROM {_RANKED} GROUP BY 1" for a in _COLUMNS for b in _COLUMNS))
 def _(t):
-    x = long_vectors(t).where("dim < 6")
-    r = x.join(stats.average_ranks(x, ["dim"], "x"), ["dim", "x"]).groupBy("vec_id").pivot("dim", list(range(6))).agg(F.max("rank"))
-    pairs = [(i, j) for i in range(6) for j in range(6)]
-    row = r.agg(*(F.corr(str(i), str(j)).alias(f"{i}_{j}") for i, j in pairs))
-    return row.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), r6(f"{i}_{j}").alias("rho")) for i, j in pairs))))
+    """Ranks of each column within a group, joined by value, then all pairs in one aggregate."""
+    d = t("lineitem").select("l_returnflag", *_COLUMNS)
+    for c in _COLUMNS:
+        d = d.join(stats.average_ranks(d, ["l_returnflag"], c).select("l_returnflag", c, F.col("rank").alias(f"r_{c}")), ["l_returnflag", c])
+    pairs = [(a, b) for a in _COLUMNS for b in _COLUMNS]
+    row = d.groupBy("l_returnflag").agg(*(F.corr(f"r_{a}", f"r_{b}").alias(f"{a}_{b}") for a, b in pairs))
+    return row.select("l_returnflag", F.inline(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), r6(f"{a}_{b}").alias("rho")) for a, b in pairs))))
 
 
 @query("evl25_residual_medians", "WITH m AS (SELECT c_nationkey AS i, n_regionkey AS j, avg(c_acctbal) AS v FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2) SELECT round(median(v) FILTER (i % 5 = j), 6) AS diag, round(median(v) FILTER (i % 5 <> j), 6) AS off FROM m")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import asof
 from .base import query, r6
 
@@ -187,10 +188,16 @@ def _(t):
     return last.select("r.*")
 
 
-@query("joi18_disjoint", "SELECT count(*) AS n FROM (SELECT DISTINCT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60)))")
+_GRAMS = "(SELECT DISTINCT {id} AS id, array_to_string(list_slice(ws, i, i + 7), ' ') AS g FROM (SELECT {id}, regexp_extract_all(lower(text), '[a-z0-9'']+') AS ws FROM {tab}), unnest(range(1, len(ws) - 6)) AS u(i))"
+
+
+@query("joi18_disjoint", f"SELECT d.id AS doc_id, count(*) AS shared FROM {_GRAMS.format(id='doc_id', tab='documents')} d WHERE g IN (SELECT g FROM {_GRAMS.format(id='item_id', tab='benchmark')}) GROUP BY 1")
 def _(t):
-    b = t("benchmark").agg(F.collect_list(F.substring("text", 1, 60)).alias("b"))  # the benchmark is of a fixed size
-    return t("documents").join(F.broadcast(b)).where(F.exists("b", lambda x: F.contains(F.col("text"), x))).agg(F.count("*").alias("n"))
+    """Documents that share an eight-word shingle with the benchmark, and how many."""
+    grams = lambda df, key: df.select(key, F.explode(F.transform(S.shingles(F.col("text")), lambda x: F.xxhash64(x))).alias("g"))
+    long_ = F.size(S.words(F.col("text"))) >= 8
+    b = grams(t("benchmark").where(long_), "item_id").select("g").distinct()
+    return grams(t("documents").where(long_), "doc_id").join(b, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
 
 
 @query("joi19_supplement", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END, c_acctbal * 2) AS bal FROM customer")

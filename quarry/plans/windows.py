@@ -118,9 +118,9 @@ def _(t):
     return t("events").withColumn("rn", F.row_number().over(w)).where("rn <= 10").groupBy("user_id").agg(r6(F.avg("value")).alias("m"))
 
 
-@query("win14_sentence_neighbours", r"SELECT doc_id, i, concat_ws(' ', s[i - 1], s[i], s[i + 1]) AS span FROM (SELECT doc_id, string_split(text, '. ') AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i) WHERE i % 10 = 1")
+@query("win14_sentence_neighbours", r"SELECT doc_id, i, concat_ws(' ', s[i - 1], s[i], s[i + 1]) AS span FROM (SELECT doc_id, string_split(text, '. ') AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)")
 def _(t):
-    d = t("documents").select("doc_id", F.split("text", r"\. ", -1).alias("s")).select("doc_id", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("i")).where("i % 10 = 1")
+    d = t("documents").select("doc_id", F.split("text", r"\. ", -1).alias("s")).select("doc_id", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("i"))
     return d.select("doc_id", "i", F.concat_ws(" ", F.when(F.col("i") > 1, F.get("s", F.col("i") - 2)), F.get("s", F.col("i") - 1), F.get("s", F.col("i"))).alias("span"))
 
 
