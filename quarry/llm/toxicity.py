@@ -43,7 +43,7 @@ def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h = textkit.word_hashes(buf, s, e)
     low = U((1 << HASH_BITS) - 1)
     starts = [textkit.word_hashes(buf, s, np.minimum(e, s + k)) >> U(20) & low for k in PREFIXES]
-    return np.stack([h >> U(64 - HASH_BITS), h & low, *starts], 1).astype(np.int32), doc
+    return np.stack([h >> U(64 - HASH_BITS), h & low, *starts], 1).astype(np.uint16), doc
 
 
 class Net:
@@ -162,13 +162,23 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows_per_cl
     if len(sizes) < 2:
         net.out[:] = 0
         return net
-    got = sorted(((r["doc_id"], r["y"], r["text"], r["lang"]) for r in rows.select("doc_id", "y", "text", "lang").collect()), key=lambda r: (r[:3], r[3] or ""))  # at most 2 * rows_per_class
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, limit=SLICE_BYTES):
+                ids, doc = word_ids(part.column(2))
+                cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                packed = pa.array([ids[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, part.column(3)], names=["doc_id", "y", "ids", "lang"])
+
+    # words are hashed on the executors; the driver gets eight bytes a word of at most 2 * rows_per_class rows
+    packed = rows.select("doc_id", "y", "text", "lang").mapInArrow(run, "doc_id long, y int, ids binary, lang string")
+    got = sorted((tuple(r) for r in packed.collect()), key=lambda r: (r[:3], r[3] or ""))
     y = np.array([r[1] for r in got], np.float32)
     if len(set(y)) < 2:
         net.out[:] = 0
         return net
-    ids, doc = word_ids(pa.array([r[2] for r in got], pa.large_string()))
-    texts = np.split(ids, np.searchsorted(doc, np.arange(1, len(got))))
+    texts = [np.frombuffer(r[2], np.uint16).reshape(-1, TABLES) for r in got]
     share = np.array([sizes.get(c, 0) / total / max(1, (y == c).sum()) * len(y) for c in (0, 1)], np.float32)
     weight = share[y.astype(int)]
     net.fit(texts, y, weight)
