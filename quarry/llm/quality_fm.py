@@ -147,12 +147,24 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows_per_
     machine = Machine(sizes.get(1, 0) / total if total else 0.5)
     if len(sizes) < 2:
         return machine
-    got = sorted((r["doc_id"], r["y"], r["text"]) for r in rows.select("doc_id", "y", "text").collect())  # at most 2 * rows_per_class
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch):
+                first, feature, value = features(part.column(2))
+                cut = list(zip(first, first[1:]))
+                packed = [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (feature.astype(np.int32), value)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *packed], names=["doc_id", "y", "f", "x"])
+
+    # features are made on the executors; the driver gets some kilobytes for each of at most 2 * rows_per_class rows
+    got = sorted(tuple(r) for r in rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f binary, x binary").collect())
     if len({r[1] for r in got}) < 2:
         return machine
     y = np.array([r[1] for r in got], np.float32)
+    first = np.cumsum([0, *(len(r[2]) // 4 for r in got)])
+    feature, value = np.frombuffer(b"".join(r[2] for r in got), np.int32), np.frombuffer(b"".join(r[3] for r in got), np.float32)
     share = np.array([sizes.get(c, 0) / total / max(1, (y == c).sum()) * len(y) for c in (0, 1)], np.float32)
-    return machine.fit(*features(pa.array([r[2] for r in got], pa.large_string())), y, share[y.astype(int)])
+    return machine.fit(first, feature, value, y, share[y.astype(int)])
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
