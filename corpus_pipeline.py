@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs; all but the last return the columns of `documents`. No stage has
-an SQL form as a whole (SimHash and packing have none), so tests hold the stages against brute
+an SQL form as a whole (near-dedup and packing have none), so tests hold the stages against brute
 force.
 """
 
@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, line_dedup, packing, rules, simhash, substring
+from quarry.llm import common, line_dedup, near, packing, rules, substring
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,7 +32,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs.select(*COLUMNS))
+    return near.deduplicate(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup_stage),
-    ("simhash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("best-fit packing", best_fit_packing),
 ]
