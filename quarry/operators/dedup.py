@@ -47,18 +47,27 @@ def shingle_pairs(df: DataFrame, key: str, text: str, n: int = 8, least: float =
     return full.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def greedy_kept(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(b): rows dropped because an earlier *kept* row a is alike. Rounds: a row is kept once all
-    its earlier neighbours are dropped, and dropped once one of them is kept."""
+def greedy_kept(pairs: DataFrame, local_pairs: int = 1 << 16) -> DataFrame:
+    """(b): rows dropped because an earlier *kept* row a is alike. Rounds, until no row is undecided: a row
+    is kept once all its earlier neighbours are dropped, and dropped once one of them is kept. A round
+    settles two links of a chain, so the last `local_pairs` open pairs are settled in order at once."""
     checkpointed(pairs.sparkSession)
     open_ = pairs.select("a", "b").distinct().checkpoint()
     dropped = open_.select("b").limit(0)
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    rounds = 0
+    while (left := open_.limit(local_pairs + 1).count()) > local_pairs:
         kept = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = open_.join(kept, "a", "left_semi").select("b").distinct().checkpoint()
         dropped = dropped.union(gone)
         rest = open_.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
         open_ = rest.join(kept, "a", "left_anti").checkpoint()
+        rounds += 1
+        if rounds % 20 == 0:  # else the plan grows with the rounds
+            dropped = dropped.checkpoint()
+    if left:
+        gone_ = set()
+        for a, b in sorted(map(tuple, open_.collect()), key=lambda r: r[::-1]):
+            if a not in gone_:
+                gone_.add(b)
+        dropped = dropped.union(pairs.sparkSession.createDataFrame([(b,) for b in sorted(gone_)], dropped.schema))
     return dropped.distinct()

@@ -85,6 +85,13 @@ def test_greedy_drops_by_kept_rows_only(spark):
     assert {r["b"] for r in dedup.greedy_kept(pairs).collect()} == {2, 4, 6, 7}
 
 
+@pytest.mark.parametrize("links,local", [(600, 1 << 16), (110, 0)])
+def test_greedy_settles_long_chains(spark, links, local):
+    """Each row is like the next one only, so every second row goes."""
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(links)], "a long, b long")
+    assert {r["b"] for r in dedup.greedy_kept(pairs, local_pairs=local).collect()} == set(range(1, links + 1, 2))
+
+
 def test_json_from_text(spark):
     df = spark.createDataFrame([('{"v": 1.5}',), ('so {"v": 2.5} there',), ('[{"v": 3.5}]',), ("none",)], "s string")
     assert [r[0] for r in df.select(io.json_object(F.col("s"), "v double")["v"]).collect()] == [1.5, 2.5, 3.5, None]
