@@ -47,6 +47,21 @@ def shingle_pairs(df: DataFrame, key: str, text: str, n: int = 8, least: float =
     return full.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def shingle_classes(df: DataFrame, key: str, text: str, n: int = 8) -> DataFrame:
+    """(id, first): for each text the smallest id of those with an equal set of n-word shingles, which
+    is the id that stands for them in shingle_pairs."""
+    s = F.sort_array(F.transform(S.shingles(F.col(text), n), lambda x: F.xxhash64(x)))
+    each = df.select(F.col(key).alias("id"), s.alias("s")).select("id", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(7), "s", F.size("s")).alias("k2"))
+    return each.join(each.groupBy("k1", "k2").agg(F.min("id").alias("first")), ["k1", "k2"]).select("id", "first")
+
+
+def greedy_dropped(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id): texts dropped because an earlier kept text is alike: of equal shingle sets all but the
+    first, and all of a set whose first is dropped."""
+    gone = greedy_kept(shingle_pairs(df, key, text)).select(F.col("b").alias("first"), F.lit(True).alias("gone"))
+    return shingle_classes(df, key, text).join(gone, "first", "left").where("id <> first OR gone").select("id")
+
+
 def greedy_kept(pairs: DataFrame, local_pairs: int = 1 << 16) -> DataFrame:
     """(b): rows dropped because an earlier *kept* row a is alike. Rounds, until no row is undecided: a row
     is kept once all its earlier neighbours are dropped, and dropped once one of them is kept. A round

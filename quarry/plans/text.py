@@ -244,7 +244,7 @@ def _(t):
 @query("ded4_greedy_near")
 def _(t):
     """Ids of texts dropped because an earlier kept text is alike (exact set copies first)."""
-    return dedup.greedy_kept(dedup.shingle_pairs(t("documents"), "doc_id", "text")).select(F.col("b").alias("doc_id"))
+    return dedup.greedy_dropped(t("documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
 
 @query("ded5_duplicate_audit", "SELECT text, n, n_rows = 1 AS same FROM (SELECT text, count(*) AS n, count(DISTINCT lang || '|' || n_chars) AS n_rows FROM documents GROUP BY text) WHERE n > 1")

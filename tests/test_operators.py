@@ -85,6 +85,15 @@ def test_greedy_drops_by_kept_rows_only(spark):
     assert {r["b"] for r in dedup.greedy_kept(pairs).collect()} == {2, 4, 6, 7}
 
 
+def test_greedy_drops_equal_sets_and_their_members(spark):
+    w = [f"w{i}" for i in range(40)]
+    near = " ".join([*w[:39], "other"])
+    rows = [(1, " ".join(w)), (2, " ".join(w)), (3, near), (4, near), (5, "alone " * 9), (6, "alone " * 9), (7, " ".join(f"v{i}" for i in range(40)))]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert {(r["id"], r["first"]) for r in dedup.shingle_classes(df, "id", "text").collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (7, 7)}
+    assert sorted(r["id"] for r in dedup.greedy_dropped(df, "id", "text").collect()) == [2, 3, 4, 6]
+
+
 @pytest.mark.parametrize("links,local", [(600, 1 << 16), (110, 0)])
 def test_greedy_settles_long_chains(spark, links, local):
     """Each row is like the next one only, so every second row goes."""
