@@ -58,16 +58,23 @@ def normal(identifier: str) -> str:
     return re.sub(r"\.0$", "", x)
 
 
-def parse(text: str) -> tuple[list[str], float | None]:
+def parse(text: str, spdx: bool = False) -> tuple[list[str], float | None]:
     """(identifiers, freedom) of an expression; freedom is None where it is none. Reading stops at
-    the first thing that cannot go on an expression."""
-    out: list[tuple[float, list[str]]] = []
+    the first thing that cannot go on an expression. With `spdx` (after an SPDX tag) every identifier
+    but NONE and NOASSERTION is a licence; else one of no known family says nothing, and the
+    expression goes on without it."""
+    out: list[tuple[float | None, list[str]]] = []
     ops: list[str] = []
     operand = True  # what may come next
 
     def apply() -> None:
         op, (y, b), (x, a) = ops.pop(), out.pop(), out.pop()
-        out.append((min(1.0, x + 0.1) if op == "with" else min(x, y) if op == "and" else max(x, y), a if op == "with" else a + b))
+        if op == "with":
+            out.append((x if x is None else min(1.0, x + 0.1), a))
+        elif x is None or y is None:
+            out.append((y, b) if x is None else (x, a))
+        else:
+            out.append((min(x, y) if op == "and" else max(x, y), a + b))
 
     for m in _TOKEN.finditer(text):
         t = m[0]
@@ -91,9 +98,10 @@ def parse(text: str) -> tuple[list[str], float | None]:
             ops.pop()
         else:
             x = normal(t)
-            if not operand or not (known(x) or ops and ops[-1] == "with"):
+            if not operand:
                 break
-            out.append((freedom(x), [x]))
+            says = known(x) or ops and ops[-1] == "with" or spdx and x not in ("none", "noassertion")
+            out.append((freedom(x), [x]) if says else (None, []))
             operand = False
     if operand and ops:  # an operator without a right side
         while ops and ops[-1] != "(" and len(out) < 2:
@@ -105,6 +113,7 @@ def parse(text: str) -> tuple[list[str], float | None]:
             ops.pop()
         else:
             apply()
+    out = [o for o in out if o[0] is not None]
     return ([], None) if not out else (sorted({i for _, ids in out for i in ids}), min(x for x, _ in out))
 
 
@@ -138,7 +147,7 @@ def scan(text: bytes) -> tuple:
             scores.append(freedom(label))
     if tagged:
         for m in _TAG.finditer(text.decode("utf-8", "replace")):
-            ids, free = parse(m[1])
+            ids, free = parse(m[1], spdx=m[0][:4].lower() == "spdx")
             if free is not None:
                 labels |= set(ids)
                 scores.append(free)

@@ -193,6 +193,17 @@ def test_expressions(text, ids, free):
     assert found == ids and (value is None) == (free is None) and (free is None or abs(value - free) < 1e-9)
 
 
+@pytest.mark.parametrize(
+    "text,labels,score",
+    [
+        ("SPDX-License-Identifier: EPL-2.0 OR MIT", "epl-2,mit", 1.0), ("SPDX-License-Identifier: EPL-2.0", "epl-2", 0.2), ("SPDX-License-Identifier: MIT AND (0BSD OR OFL-1.1)", "0bsd,mit,ofl-1.1", 0.2), ("SPDX-License-Identifier: NOASSERTION", "", 0.0),
+        ("License: EPL-2.0 OR MIT", "mit", 1.0), ("License: (EPL-2.0 AND MPL-2.0) OR GPL-2.0", "gpl-2,mpl-2", 0.6), ("License: EPL-2.0 WITH Classpath-exception-2.0 AND MIT", "mit", 1.0), ("License: see the MIT file", "", 0.0),
+    ],
+)
+def test_identifiers_of_unknown_families(text, labels, score):
+    assert licenses.scan(text.encode())[5:] == (labels, score)
+
+
 def plain_statistics(text):
     t = text or ""
     w = words(t)
