@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common, sampling, textkit
 
 U = np.uint64
-WORD_BITS, FACTORS, ROWS_PER_CLASS = 15, 8, 3000
+WORD_BITS, FACTORS, ROWS_PER_CLASS, ENTRIES_PER_ROW = 15, 8, 3000, 2048
 THRESHOLD = 0.3
 _WORDS = 1 << WORD_BITS
 
@@ -141,7 +141,9 @@ class Machine:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows_per_class: int = ROWS_PER_CLASS, entries_per_row: int = ENTRIES_PER_ROW) -> Machine:
+    """The driver gets eight bytes for each of at most `entries_per_row` entries of at most
+    2 * rows_per_class rows (98 MB at most): of a text with more, its most frequent words."""
     rows, sizes = sampling.labelled(docs, labels, target, rows_per_class)
     total = sum(sizes.values())
     machine = Machine(sizes.get(1, 0) / total if total else 0.5)
@@ -152,17 +154,24 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows_per_
         for batch in batches:
             for part in common.slices(batch):
                 first, feature, value = features(part.column(2))
-                cut = list(zip(first, first[1:]))
-                packed = [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (feature.astype(np.int32), value)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *packed], names=["doc_id", "y", "f", "x"])
-
-    # features are made on the executors; the driver gets some kilobytes for each of at most 2 * rows_per_class rows
-    got = sorted(tuple(r) for r in rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f binary, x binary").collect())
-    if len({r[1] for r in got}) < 2:
+                f, x = [], []
+                for a, b in zip(first, first[1:]):
+                    keep = np.arange(a, b)
+                    if b - a > entries_per_row:  # the statistics come last and stay
+                        n_words = b - a - len(STATISTICS)
+                        top = np.argsort(-value[a : a + n_words], kind="stable")[: entries_per_row - len(STATISTICS)]
+                        keep = np.concatenate((a + np.sort(top), np.arange(a + n_words, b)))
+                    f.append(feature[keep].astype(np.int32).tobytes())
+                    x.append(value[keep].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(f, pa.binary()), pa.array(x, pa.binary())], names=["doc_id", "y", "f", "x"])
+
+    # features are made on the executors
+    got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    y = got["y"].to_numpy().astype(np.float32)
+    if len(set(y)) < 2:
         return machine
-    y = np.array([r[1] for r in got], np.float32)
-    first = np.cumsum([0, *(len(r[2]) // 4 for r in got)])
-    feature, value = np.frombuffer(b"".join(r[2] for r in got), np.int32), np.frombuffer(b"".join(r[3] for r in got), np.float32)
+    feature, value = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in got[c]]) for c, t in (("f", np.int32), ("x", np.float32)))
+    first = np.cumsum([0, *(x.as_buffer().size // 4 for x in got["f"])])
     share = np.array([sizes.get(c, 0) / total / max(1, (y == c).sum()) * len(y) for c in (0, 1)], np.float32)
     return machine.fit(first, feature, value, y, share[y.astype(int)])
 

@@ -16,9 +16,12 @@ def held_out(doc_id: Column) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, target: str, rows_per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """The documents (doc_id, ...) of at most `rows_per_class` labelled rows of each class that are
     not held out, with `y`; and how many rows of each class there are. The rows taken are those with the
-    least hash of their id, so the choice depends on neither order nor partitions."""
+    least hash of their id, so the choice depends on neither order nor partitions; of documents that
+    share an id the least one counts, so the sample stays bounded whatever repeats."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64("doc_id", F.lit(11))
     taken = known.where("y = 0").orderBy(order, "doc_id").limit(rows_per_class).unionAll(known.where("y = 1").orderBy(order, "doc_id").limit(rows_per_class))
-    return docs.join(F.broadcast(taken), "doc_id"), sizes  # at most 2 * rows_per_class ids are broadcast
+    rest = [c for c in docs.columns if c != "doc_id"]
+    found = docs.join(F.broadcast(taken), "doc_id")  # at most 2 * rows_per_class ids are broadcast
+    return found.groupBy("doc_id", "y").agg(F.min(F.struct(*rest)).alias("d")).select("doc_id", *(F.col("d")[c].alias(c) for c in rest), "y"), sizes

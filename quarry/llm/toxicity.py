@@ -1,22 +1,30 @@
 """Toxicity by a convolutional text classifier in numpy.
 
-A word's embedding is the sum of four hashed embeddings: of the word by two hashes, so that it
-is wrong only where both collide, and of its first four and first six bytes, so that inflected forms
-share what they have in common. Filters of one, two and three words run over the text; the largest response of each
-goes through a linear layer. Embeddings start at zero: words that training never met say nothing.
-The net is trained on a bounded sample of labelled rows (`rows_per_class` of each class,
-weighted back to the classes' true shares) and applied to every whole text on the executors. For
-each language of the sample a threshold of the score is calibrated on it (best F1); the language
-decides the flag only, never the score.
+A word's embedding is the sum of six hashed embeddings: of the word by two hashes, so that it
+is wrong only where both collide, and of its first four to seven bytes, each only if the word goes on
+after them, so that inflected forms share what they have in common and the bare stem does not. Filters
+of one, two and three words run over the text; the largest response of each goes through a linear layer.
+
+The net is trained on a bounded sample of labelled rows: `rows_per_class` of each class, weighted
+back to the classes' true shares, of a text above `words_per_row` words a stretch of as many
+consecutive ones (scoring reads whole texts). Embeddings start as the log odds of the hash between the
+classes, as far as they are sure (`SURE` standard errors off), along one direction: what occurs
+in a single text starts at zero and is hardly learnt, so the net cannot memorise its sample and its
+result hardly depends on the seed. Steps shrink to nothing over the epochs.
+
+Calibration uses the scores of rows by nets that did not learn from them (`INNER_FOLDS` crossed folds of
+the sample): two numbers make log odds of the scores, the same for all rows, and for each language a threshold is set
+where F1 is best. The language decides the flag only, never the score.
 
 Defined results: a null or empty text has no words and the score of an empty text; repeated rows
 and ties get equal scores; a language without enough sample rows, or null, has the common
 threshold 0.5; without both classes among the labels the score is the share of label 1; a null id
-is held out; an empty table gives an empty result.
+is held out; rows that share an id count once in the sample; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,32 +36,35 @@ from . import common, sampling, textkit
 
 U = np.uint64
 HASH_BITS, DIMENSIONS, FILTERS, WIDTHS = 16, 16, 16, (1, 2, 3)
-PREFIXES = (4, 6)
+PREFIXES = (4, 5, 6, 7)
 TABLES = 2 + len(PREFIXES)
-ROWS_PER_CLASS = 2500
+ROWS_PER_CLASS, WORDS_PER_ROW = 2500, 2048
+SURE, STRENGTH, INNER_FOLDS = 1.3, 0.25, 3
 THRESHOLD = 0.5
 SLICE_BYTES = 1 << 20
 
 
 def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(words x TABLES hashed ids, document of each word)."""
+    """(words x TABLES hashed ids, document of each word); id 0 of a prefix table: the word is no longer."""
     buf, off = textkit.flat(texts)
     buf = textkit.LOWER[buf]
     s, e, doc = textkit.words(buf, off, textkit.NON_ALNUM)
     h = textkit.word_hashes(buf, s, e)
     low = U((1 << HASH_BITS) - 1)
-    starts = [textkit.word_hashes(buf, s, np.minimum(e, s + k)) >> U(20) & low for k in PREFIXES]
+    starts = [np.where(e - s > k, np.maximum(textkit.word_hashes(buf, s, np.minimum(e, s + k)) >> U(20) & low, U(1)), U(0)) for k in PREFIXES]
     return np.stack([h >> U(64 - HASH_BITS), h & low, *starts], 1).astype(np.uint16), doc
 
 
 class Net:
-    def __init__(self, share: float):
-        rng = np.random.default_rng(3)
+    def __init__(self, share: float, seed: int = 3):
+        rng = np.random.default_rng(seed)
+        self.seed = seed
         self.emb = np.zeros((TABLES, 1 << HASH_BITS, DIMENSIONS), np.float32)
         self.filters = [rng.normal(0, 1 / np.sqrt(DIMENSIONS * w), (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.shift = np.full(len(WIDTHS) * FILTERS, 0.1, np.float32)
-        self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
+        self.out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
         self.bias = np.array([np.log((share + 1e-6) / (1 - share + 1e-6))], np.float32)
+        self.slope, self.offset = 1.0, 0.0
         self.thresholds: dict[str, float] = {}
 
     def responses(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,66 +93,98 @@ class Net:
         if len(ids):
             full, first = np.unique(doc, return_index=True)
             pooled[full] = np.maximum(np.maximum.reduceat(self.responses(ids, doc)[1], first, axis=0), 0)
-        z = (pooled @ self.out + self.bias).astype(np.float64)
+        z = (pooled @ self.out + self.bias).astype(np.float64) * self.slope + self.offset
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.01) -> Net:
-        rng = np.random.default_rng(9)
+    def begin(self, texts: list[np.ndarray], y: np.ndarray) -> None:
+        """Embeddings along one direction: the log odds of finding the hash in a text of label 1, shrunk
+        by SURE standard errors."""
+        direction = np.random.default_rng(self.seed + 1).normal(0, 1, DIMENSIONS)
+        direction *= STRENGTH / np.linalg.norm(direction)
+        of, size = (y == 1).astype(int), np.bincount(y.astype(int), minlength=2)
+        for t in range(TABLES):
+            n = np.zeros((2, 1 << HASH_BITS))
+            for c, x in zip(of, texts):
+                n[c, np.unique(x[:, t])] += 1
+            odds = np.log((n[1] + 0.5) / (size[1] + 1)) - np.log((n[0] + 0.5) / (size[0] + 1))
+            odds = np.sign(odds) * np.maximum(0, np.abs(odds) - SURE * np.sqrt(1 / (n[0] + 0.5) + 1 / (n[1] + 0.5)))
+            odds[n.sum(0) == 0] = 0
+            if t >= 2:
+                odds[0] = 0
+            self.emb[t] = odds[:, None] * direction
+
+    def gradients(self, ids: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of the mean weighted log loss of documents of n words each: (gradients of the filters, shift,
+        out and bias; the words that embeddings get a gradient from, with repeats; the gradients of their sums)."""
+        x, r = self.responses(ids, np.repeat(np.arange(len(n)), n))
+        end = np.cumsum(n)
+        where = np.zeros((len(n), r.shape[1]), np.int64)
+        pooled = np.zeros((len(n), r.shape[1]), np.float32)
+        for d, (a, b) in enumerate(zip(end - n, end)):
+            if b > a:
+                m = r[a:b].argmax(0)
+                where[d], pooled[d] = m + a, r[a + m, np.arange(r.shape[1])]
+        active = pooled > 0
+        pooled *= active
+        z = pooled @ self.out + self.bias
+        g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / len(n)).astype(np.float32)
+        back = g[:, None] * self.out * active  # to each document's and filter's one window
+        grads, touched, changes = [], [], []
+        last = end[:, None] - 1
+        for k, f in enumerate(self.filters):
+            b, at = back[:, k * FILTERS : (k + 1) * FILTERS], where[:, k * FILTERS : (k + 1) * FILTERS]
+            gf = np.zeros_like(f)
+            for o in range(len(f)):
+                inside = (at + o <= last) & (n[:, None] > 0)
+                pos = np.where(inside, at + o, 0)
+                bo = b * inside
+                gf[o] = np.einsum("df,dfe->ef", bo, x[pos])
+                touched.append(pos.reshape(-1))
+                changes.append((bo[:, :, None] * f[o].T[None]).reshape(-1, DIMENSIONS))
+            grads.append(gf)
+        pos, change = np.concatenate(touched), np.concatenate(changes)
+        live = np.flatnonzero(np.abs(change).sum(1))
+        return [*grads, back.sum(0), g @ pooled, np.array([g.sum()], np.float32)], pos[live], change[live]
+
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.005, rate_words: float = 0.02) -> Net:
+        self.begin(texts, y)
+        rng = np.random.default_rng(self.seed + 2)
         params = [*self.filters, self.shift, self.out, self.bias]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-        squares = np.full((TABLES, 1 << HASH_BITS), 1e-8, np.float32)
-        step = 0
+        step, steps = 0, epochs * -(-len(y) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for rows in (order[i : i + batch] for i in range(0, len(y), batch)):
+                step += 1
                 n = np.array([len(texts[r]) for r in rows])
                 if not n.sum():
                     continue
-                ids, doc = np.concatenate([texts[r] for r in rows]), np.repeat(np.arange(len(rows)), n)
-                x, r = self.responses(ids, doc)
-                end = np.cumsum(n)
-                where = np.zeros((len(rows), r.shape[1]), np.int64)
-                pooled = np.zeros((len(rows), r.shape[1]), np.float32)
-                for d, (a, b) in enumerate(zip(end - n, end)):
-                    if b > a:
-                        m = r[a:b].argmax(0)
-                        where[d], pooled[d] = m + a, r[a + m, np.arange(r.shape[1])]
-                active = pooled > 0
-                pooled *= active
-                z = pooled @ self.out + self.bias
-                g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
-                back = g[:, None] * self.out * active  # to each document's and filter's one window
-                grads, touched, changes = [], [], []
-                last = end[:, None] - 1
-                for k, f in enumerate(self.filters):
-                    b, at = back[:, k * FILTERS : (k + 1) * FILTERS], where[:, k * FILTERS : (k + 1) * FILTERS]
-                    gf = np.zeros_like(f)
-                    for o in range(len(f)):
-                        inside = (at + o <= last) & (n[:, None] > 0)
-                        pos = np.where(inside, at + o, 0)
-                        bo = b * inside
-                        gf[o] = np.einsum("df,dfe->ef", bo, x[pos])
-                        touched.append(pos.reshape(-1))
-                        changes.append((bo[:, :, None] * f[o].T[None]).reshape(-1, DIMENSIONS))
-                    grads.append(gf)
-                grads += [back.sum(0), g @ pooled, np.array([g.sum()], np.float32)]
-                step += 1
+                ids, left = np.concatenate([texts[r] for r in rows]), 1 - step / (steps + 1)
+                grads, pos, change = self.gradients(ids, n, y[rows], weight[rows])
                 for p, grad, (m, s) in zip(params, grads, moments):
                     m += 0.1 * (grad - m)
                     s += 0.001 * (grad * grad - s)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-                pos, change = np.concatenate(touched), np.concatenate(changes)
-                live = np.flatnonzero(np.abs(change).sum(1))
-                for t in range(TABLES):  # one step size a row, from its summed squares
-                    rows_t, inverse = np.unique(ids[pos[live], t], return_inverse=True)
-                    grad = np.zeros((len(rows_t), DIMENSIONS), np.float32)
-                    np.add.at(grad, inverse, change[live])
-                    squares[t, rows_t] += (grad * grad).mean(1)
-                    self.emb[t, rows_t] -= 0.1 * grad / np.sqrt(squares[t, rows_t])[:, None]
+                    p -= rate * left * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+                for t in range(TABLES):
+                    real = ids[pos, t] > 0 if t >= 2 else np.ones(len(pos), bool)
+                    np.subtract.at(self.emb[t], ids[pos[real], t], rate_words * left * change[real])
         return self
 
+    def scores_of(self, texts: list[np.ndarray]) -> np.ndarray:
+        return np.array([self.scores(t, np.zeros(len(t), np.int64), 1)[0] for t in texts])
+
     def calibrate(self, scores: np.ndarray, y: np.ndarray, weight: np.ndarray, langs: list, least: int = 50) -> None:
-        """For each language with rows enough the threshold with the best F1, midway between scores."""
+        """From scores of unseen rows: slope and offset of the log odds (logistic regression, held near 1 and 0
+        by a weak prior), then for each language with rows enough the threshold with the best F1,
+        midway between scores."""
+        z = np.stack([np.log(scores / (1 - scores)), np.ones(len(y))], 1)
+        at = np.array([1.0, 0.0])
+        for _ in range(20):  # Newton's method
+            p = 1 / (1 + np.exp(-np.clip(z @ at, -30, 30)))
+            slope = z.T @ (weight * (p - y)) + (at - [1, 0])
+            at = at - np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.eye(2), slope)
+        self.slope, self.offset = max(0.1, float(at[0])), float(at[1])
+        scores = 1 / (1 + np.exp(-np.clip(z @ [self.slope, self.offset], -30, 30)))
         for lang in sorted({x for x in langs if x is not None}):
             at = np.array([x == lang for x in langs])
             if at.sum() < least or len(set(y[at])) < 2:
@@ -154,36 +197,50 @@ class Net:
             self.thresholds[lang] = float((s[best] + (s[best + 1] if best + 1 < len(s) else 0)) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Net:
-    """docs: (doc_id, text, lang)."""
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows_per_class: int = ROWS_PER_CLASS, words_per_row: int = WORDS_PER_ROW, seed: int = 3) -> Net:
+    """docs: (doc_id, text, lang). The driver gets 12 bytes a word of at most 2 * rows_per_class rows of
+    at most words_per_row words: 123 MB at most."""
     rows, sizes = sampling.labelled(docs, labels, target, rows_per_class)
     total = sum(sizes.values())
-    net = Net(sizes.get(1, 0) / total if total else 0.5)
-    if len(sizes) < 2:
-        net.out[:] = 0
-        return net
+    net = Net(sizes.get(1, 0) / total if total else 0.5, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, limit=SLICE_BYTES):
                 ids, doc = word_ids(part.column(2))
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                packed = pa.array([ids[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, part.column(3)], names=["doc_id", "y", "ids", "lang"])
+                packed = []
+                for i, a, b in zip(part.column(0).to_pylist(), cut.tolist(), cut[1:].tolist()):
+                    if b - a > words_per_row:
+                        a += zlib.crc32(b"%d" % i) % (b - a - words_per_row + 1)
+                        b = a + words_per_row
+                    packed.append(ids[a:b].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary()), part.column(3)], names=["doc_id", "y", "ids", "lang"])
 
-    # words are hashed on the executors; the driver gets eight bytes a word of at most 2 * rows_per_class rows
-    packed = rows.select("doc_id", "y", "text", "lang").mapInArrow(run, "doc_id long, y int, ids binary, lang string")
-    got = sorted((tuple(r) for r in packed.collect()), key=lambda r: (r[:3], r[3] or ""))
-    y = np.array([r[1] for r in got], np.float32)
-    if len(set(y)) < 2:
+    def constant() -> Net:
         net.out[:] = 0
         return net
-    texts = [np.frombuffer(r[2], np.uint16).reshape(-1, TABLES) for r in got]
+
+    if len(sizes) < 2:
+        return constant()
+    # words are hashed on the executors
+    packed = rows.select("doc_id", "y", "text", "lang").mapInArrow(run, "doc_id long, y int, ids binary, lang string").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    y = packed["y"].to_numpy().astype(np.float32)
+    if len(set(y)) < 2:
+        return constant()
+    texts = [np.frombuffer(x.as_buffer(), np.uint16).reshape(-1, TABLES) for x in packed["ids"]]
     share = np.array([sizes.get(c, 0) / total / max(1, (y == c).sum()) * len(y) for c in (0, 1)], np.float32)
     weight = share[y.astype(int)]
+    fold = np.array([zlib.crc32(b"inner %d" % i) % INNER_FOLDS for i in packed["doc_id"].to_pylist()])
+    unseen = np.full(len(y), np.nan)
+    for k in range(INNER_FOLDS):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if len(own) and len(set(y[rest])) == 2:
+            part = Net(sizes[1] / total, seed).fit([texts[i] for i in rest], y[rest], weight[rest])
+            unseen[own] = part.scores_of([texts[i] for i in own])
     net.fit(texts, y, weight)
-    scores = np.concatenate([net.scores(t, np.zeros(len(t), np.int64), 1) for t in texts])
-    net.calibrate(scores, y, weight, [r[3] for r in got])
+    known = ~np.isnan(unseen)
+    net.calibrate(unseen[known], y[known], weight[known], [x for x, k in zip(packed["lang"].to_pylist(), known) if k])
     return net
 
 
