@@ -1,11 +1,14 @@
 """Quality rules as weak supervision, in built-in functions only.
 
-Six rules look at a text's statistics; each votes good (1) or bad (-1) or abstains (0).
-Expectation-maximisation over the counts of the vote patterns (at most 3^6 of them, whatever the
-corpus) estimates how often each rule votes right on good and on bad texts, and the share of good
-texts; a text's verdict is its posterior probability of being good, instead of
-all-rules-must-pass. The counts are a partial aggregate, the iterations one expression over the
-array of patterns, and the verdicts an equi-join on the pattern with a table of that bounded size.
+Nine rules look at a text's statistics; each votes good (1) or bad (-1) or abstains (0). A text is of
+one of four kinds: good, or bad by junk symbols, by repetition or by shouting. Expectation-maximisation
+over the counts of the vote patterns (at most 3^9 of them, whatever the corpus) estimates how common each
+kind is and how often each rule votes bad on texts of each kind; a text's verdict is its posterior
+probability of being good, instead of all-rules-must-pass. Within one bad kind the rules that see its
+fault depend on one another, which a single bad class would not allow. A rule that also votes bad on
+good texts is outvoted, and votes that are weak one by one can reject a text together. The counts are a
+partial aggregate, the iterations one expression over the array of patterns, and the verdicts an
+equi-join on the pattern with a table of that bounded size.
 
 Defined results: a null or empty text has no words, so it fails the base rules; repeated rows and
 ties get equal verdicts; a null id stays null; an empty table gives an empty result. Windows of
@@ -21,13 +24,12 @@ from . import common
 
 SPACES = " \t\n\x0b\x0c\r"
 ROUNDS = 20
-N_RULES = 6
-#: where the iterations start: the share of good texts, and of right votes on good and on bad texts
-PRIOR, GOOD_RIGHT, BAD_RIGHT = 0.9, 0.998, 0.3
-#: a rule hardly ever calls a good text bad, and sees some but not most of the bad ones. Without these
-#: bounds the bad class shrinks to the most frequent fault, and the others pass for noise.
-BOUNDS_GOOD, BOUNDS_BAD = (0.997, 0.9995), (0.1, 0.5)
-SMOOTH = 1.0
+N_RULES = 9
+#: the rules that see the fault of each bad kind
+KINDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8))
+#: where the iterations start: the share of good texts; how often a rule votes bad where nothing is wrong for it, and
+#: on the fault that it sees. As many votes as SMOOTH keep the estimates near the start, so none is 0 or 1.
+PRIOR, MISFIRE, SEES, SMOOTH = 0.9, 0.05, 0.7, 4.0
 
 
 def _without(chars: str) -> Column:
@@ -48,7 +50,6 @@ def statistics(docs: DataFrame) -> DataFrame:
         "n_symbols": (F.length("text") - _without("#*$%&|<>")).cast("long"),
         "n_upper": (F.length("text") - _without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long"),
         "n_stops": (F.length("text") - _without(".!?")).cast("long"),
-        "n_marks": (F.length("text") - _without("!")).cast("long"),
     })
     d = d.withColumns({
         "n_words": F.size("_w").cast("long"),
@@ -74,19 +75,20 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def votes() -> list[Column]:
-    """Of length, symbols, repetition, letter case, word length and sentences. Signs of one fault share
-    a rule: the model takes rules as independent, and a fault told thrice would outweigh the others."""
+    """Of symbols (by characters, by words) and word length; of repeated windows, distinct words and
+    repeated lines; of some and of mostly capitals, and of sentence ends."""
     c = F.col
-    n, chars = c("n_words"), c("n_chars_")
-    repetition = (c("n_dup_lines") * 10 > c("n_lines") * 3) | (c("n_repeat_words") * 100 > n * 15)
-    varied = (c("n_dup_lines") == 0) & (c("n_repeat_words") * 20 < n) & (c("n_distinct") * 10 > n * 4)
+    n, chars = c("n_words"), c("word_chars")
     return [
-        _vote(n >= 40, n < 20),
-        _vote(c("n_symbols") * 300 < chars, c("n_symbols") * 50 > chars),
-        _vote(varied, repetition),
-        _vote((c("n_upper") * 6 < c("word_chars")) & (c("n_marks") * 20 < n), (c("n_upper") * 2 > c("word_chars")) | (c("n_marks") * 3 > n)),
-        _vote((c("word_chars") >= n * 3) & (c("word_chars") <= n * 10), (c("word_chars") < n * 2) | (c("word_chars") > n * 15)),
-        _vote((c("n_stops") * 60 >= n) & (c("n_stops") * 2 <= n), (c("n_stops") * 200 < n) | (c("n_stops") > n)),
+        _vote(c("n_symbols") * 300 < c("n_chars_"), c("n_symbols") * 50 > c("n_chars_")),
+        _vote(c("n_symbols") * 20 < n, c("n_symbols") * 5 > n),
+        _vote((chars >= n * 4) & (chars * 2 <= n * 13), (chars < n * 3) | (chars > n * 7)),
+        _vote(c("n_repeat_words") * 20 < n, c("n_repeat_words") * 5 > n),
+        _vote(c("n_distinct") * 2 > n, c("n_distinct") * 5 < n * 2),
+        _vote(c("n_dup_lines") == 0, c("n_dup_lines") * 10 > c("n_lines") * 3),
+        _vote(c("n_upper") * 12 < chars, c("n_upper") * 4 > chars),
+        _vote(c("n_upper") * 8 < chars, c("n_upper") * 2 > chars),
+        _vote((c("n_stops") * 40 >= n) & (c("n_stops") * 5 <= n), (c("n_stops") * 200 < n) | (c("n_stops") * 2 > n)),
     ]
 
 
@@ -103,40 +105,45 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
 
 
-def _logit(v: str, s: str) -> str:
-    """SQL for a pattern's log odds of good, from its votes and the state; abstaining says nothing."""
-    return f"aggregate(sequence(0, {N_RULES - 1}), ln({s}.prior / (1 - {s}.prior)), (t, j) -> t + CASE {v}[j] WHEN 1 THEN ln({s}.good[j] / (1 - {s}.bad[j])) WHEN -1 THEN ln((1 - {s}.good[j]) / {s}.bad[j]) ELSE 0D END)"
-
-
-def _right(weight: str, vote: int, bounds: tuple[float, float]) -> str:
-    """SQL for each rule's share of right votes among the texts of one class that it votes on."""
-    part = f"aggregate(post, 0D, (t, p) -> t + CASE WHEN p.v[j] {{}} THEN p.{weight} ELSE 0D END)"
-    return f"transform(sequence(0, {N_RULES - 1}), j -> greatest({bounds[0]}D, least({bounds[1]}D, ({part.format(f'= {vote}')} + {SMOOTH}D) / ({part.format('<> 0')} + {2 * SMOOTH}D))))"
+def _start() -> list[list[float]]:
+    return [[SEES if j in kind else MISFIRE for j in range(N_RULES)] for kind in ((), *KINDS)]
 
 
 def posteriors(coded: DataFrame) -> DataFrame:
     """(code int) of all texts -> (code, base_failed, posterior, kept): one row for each code that occurs."""
+    kinds, rules = f"sequence(0, {len(KINDS)})", f"sequence(0, {N_RULES - 1})"
     counts = coded.groupBy("code").agg(F.count("*").cast("double").alias("n"))
-    digits = F.expr(f"transform(sequence(0, {N_RULES - 1}), j -> cast(floor(floor(code / 2) / power(3, {N_RULES - 1} - j)) as int) % 3 - 1)")
+    digits = F.expr(f"transform({rules}, j -> cast(floor(floor(code / 2) / power(3, {N_RULES - 1} - j)) as int) % 3 - 1)")
     one = counts.agg(F.sort_array(F.collect_list(F.struct("code", "n", digits.alias("v"), (F.col("code") % 2 == 1).alias("failed")))).alias("patterns")).where(F.size("patterns") > 0)
-    state = f"named_struct('prior', {PRIOR}D, 'good', array_repeat({GOOD_RIGHT}D, {N_RULES}), 'bad', array_repeat({BAD_RIGHT}D, {N_RULES}))"
-    post = f"transform(transform(patterns, p -> named_struct('v', p.v, 'n', p.n, 'y', 1 / (1 + exp(-{_logit('p.v', 's')})))), p -> named_struct('v', p.v, 'g', p.n * p.y, 'b', p.n * (1 - p.y)))"
-    step = (
-        "named_struct('prior', (aggregate(post, 0D, (t, p) -> t + p.g) + 1D) / (aggregate(post, 0D, (t, p) -> t + p.g + p.b) + 2D), "
-        f"'good', {_right('g', 1, BOUNDS_GOOD)}, 'bad', {_right('b', -1, BOUNDS_BAD)})"
-    )
+    start = "array(" + ", ".join("array(" + ", ".join(f"{x}D" for x in row) + ")" for row in _start()) + ")"
+    state = f"named_struct('prior', array({', '.join(f'{x}D' for x in _priors())}), 'bad', {start})"
+    # how likely each kind is with a pattern; abstaining says nothing
+    joint = f"transform({kinds}, k -> s.prior[k] * exp(aggregate({rules}, 0D, (t, j) -> t + CASE p.v[j] WHEN -1 THEN ln(s.bad[k][j]) WHEN 1 THEN ln(1 - s.bad[k][j]) ELSE 0D END)))"
+    shares = f"transform(array({joint}), q -> transform(q, x -> x / aggregate(q, 0D, (t, y) -> t + y)))[0]"
+    post = f"transform(transform(patterns, p -> named_struct('v', p.v, 'n', p.n, 'q', {shares})), p -> named_struct('v', p.v, 'w', transform(p.q, x -> x * p.n)))"
+    total = "aggregate(post, 0D, (t, p) -> t + p.w[k]{})"
+    bad = f"({total.format(' * if(p.v[j] = -1, 1D, 0D)')} + {SMOOTH}D * start[k][j]) / ({total.format(' * if(p.v[j] <> 0, 1D, 0D)')} + {SMOOTH}D)"
+    step = f"named_struct('prior', transform({kinds}, k -> ({total.format('')} + 1D) / (total + {len(KINDS) + 1}D)), 'bad', transform({kinds}, k -> transform({rules}, j -> {bad})))"
+    one = one.withColumn("start", F.expr(start)).withColumn("total", F.expr("aggregate(patterns, 0D, (t, p) -> t + p.n)"))
     one = one.withColumn("s", F.expr(f"aggregate(sequence(1, {ROUNDS}), {state}, (s, i) -> transform(array({post}), post -> {step})[0])"))
-    found = one.select("s", F.explode("patterns").alias("p")).select("p.code", F.col("p.failed").alias("base_failed"), F.expr(f"1 / (1 + exp(-{_logit('p.v', 's')}))").alias("posterior"))
+    found = one.select("s", F.explode("patterns").alias("p")).select("p.code", F.col("p.failed").alias("base_failed"), F.expr(f"{shares}[0]").alias("posterior"))
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
+def _priors() -> list[float]:
+    return [PRIOR, *[(1 - PRIOR) / len(KINDS)] * len(KINDS)]
+
+
 def judge(stats: DataFrame) -> DataFrame:
     """Adds base_failed, posterior and kept to what statistics() gives. The verdicts come from the table's
     side of the join and are no function of its key, so no filter on them is pushed into the
-    statistics, where every expression would be inlined and computed again."""
-    coded = stats.withColumn("code", code())
-    table = F.broadcast(posteriors(coded.select("code")))  # at most 2 * 3^6 rows
-    return coded.join(table, "code").drop("code")
+    statistics, where every expression would be inlined and computed again. The counts and the join read
+    `stats` once each: have it written before (checkpoint()) unless it is cheap."""
+    return _verdicts(stats.withColumn("code", code())).drop("code")
+
+
+def _verdicts(coded: DataFrame) -> DataFrame:
+    return coded.join(F.broadcast(posteriors(coded.select("code"))), "code")  # at most 2 * 3^9 rows
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -146,46 +153,54 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those that the rules reject."""
-    base = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = base.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
-    return judge(statistics(own)).where("kept").select("_row.*")
+    """The documents, all columns, without those that the rules reject. The rows are written once with
+    their vote patterns, so the statistics are computed once."""
+    common.ensure_checkpoint_dir(docs.sparkSession)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    own = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return _verdicts(statistics(own).select("_row", code().alias("code")).checkpoint()).where("kept").select("_row.*")
 
 
 def _sql() -> str:
-    repetition = "n_dup_lines * 10 > n_lines * 3 OR n_repeat_words * 100 > n_words * 15"
-    varied = "n_dup_lines = 0 AND n_repeat_words * 20 < n_words AND n_distinct * 10 > n_words * 4"
     v = [f"CASE WHEN {b} THEN -1 WHEN {g} THEN 1 ELSE 0 END" for g, b in [
-        ("n_words >= 40", "n_words < 20"),
         ("n_symbols * 300 < n_chars", "n_symbols * 50 > n_chars"),
-        (varied, repetition),
-        ("n_upper * 6 < word_chars AND n_marks * 20 < n_words", "n_upper * 2 > word_chars OR n_marks * 3 > n_words"),
-        ("word_chars BETWEEN n_words * 3 AND n_words * 10", "word_chars < n_words * 2 OR word_chars > n_words * 15"),
-        ("n_stops * 60 >= n_words AND n_stops * 2 <= n_words", "n_stops * 200 < n_words OR n_stops > n_words"),
+        ("n_symbols * 20 < n_words", "n_symbols * 5 > n_words"),
+        ("word_chars >= n_words * 4 AND word_chars * 2 <= n_words * 13", "word_chars < n_words * 3 OR word_chars > n_words * 7"),
+        ("n_repeat_words * 20 < n_words", "n_repeat_words * 5 > n_words"),
+        ("n_distinct * 2 > n_words", "n_distinct * 5 < n_words * 2"),
+        ("n_dup_lines = 0", "n_dup_lines * 10 > n_lines * 3"),
+        ("n_upper * 12 < word_chars", "n_upper * 4 > word_chars"),
+        ("n_upper * 8 < word_chars", "n_upper * 2 > word_chars"),
+        ("n_stops * 40 >= n_words AND n_stops * 5 <= n_words", "n_stops * 200 < n_words OR n_stops * 2 > n_words"),
     ]]
-    rules = range(N_RULES)
-    logit = "ln(prior / (1 - prior)) + " + " + ".join(f"CASE v{j} WHEN 1 THEN ln(good{j} / (1 - bad{j})) WHEN -1 THEN ln((1 - good{j}) / bad{j}) ELSE 0 END" for j in rules)
-    right = lambda w, vote, lo, hi, j: f"greatest({lo}, least({hi}, (sum(CASE WHEN v{j} = {vote} THEN {w} ELSE 0 END) + {SMOOTH}) / (sum(CASE WHEN v{j} <> 0 THEN {w} ELSE 0 END) + {2 * SMOOTH})))::DOUBLE"
-    rounds = [f"s0 AS MATERIALIZED (SELECT {PRIOR}::DOUBLE AS prior, " + ", ".join(f"{GOOD_RIGHT}::DOUBLE AS good{j}, {BAD_RIGHT}::DOUBLE AS bad{j}" for j in rules) + ")"]
-    for i in range(ROUNDS):
-        rounds.append(f"s{i + 1} AS MATERIALIZED (SELECT (sum(g) + 1) / (sum(g + b) + 2) AS prior, " + ", ".join(f"{right('g', 1, *BOUNDS_GOOD, j)} AS good{j}, {right('b', -1, *BOUNDS_BAD, j)} AS bad{j}" for j in rules) + f" FROM (SELECT *, n * y AS g, n * (1 - y) AS b FROM (SELECT *, 1 / (1 + exp(-({logit}))) AS y FROM pats, s{i})))")
     vs = ", ".join(f"v{j}" for j in range(N_RULES))
+    start = ", ".join(f"({k}, {j}, {x}::DOUBLE, {prior}::DOUBLE)" for (k, row), prior in zip(enumerate(_start()), _priors()) for j, x in enumerate(row))
+    joint = lambda i: f"j{i} AS MATERIALIZED (SELECT pid, k, n, any_value(prior) * exp(sum(CASE v WHEN -1 THEN ln(bad) WHEN 1 THEN ln(1 - bad) ELSE 0 END)) AS q FROM long JOIN s{i} USING (j) GROUP BY pid, k, n)"
+    share = lambda i: f"p{i} AS MATERIALIZED (SELECT pid, k, n, q / sum(q) OVER (PARTITION BY pid) AS y FROM j{i})"
+    rounds = []
+    for i in range(ROUNDS):
+        rounds += [joint(i), share(i), f"""s{i + 1} AS MATERIALIZED (SELECT k, j, (sum(CASE WHEN v = -1 THEN n * y ELSE 0 END) + {SMOOTH} * any_value(first)) / (sum(CASE WHEN v <> 0 THEN n * y ELSE 0 END) + {SMOOTH}) AS bad,
+  (sum(n * y) + 1) / (sum(n) + {len(KINDS) + 1}) AS prior FROM p{i} JOIN long USING (pid, n) JOIN (SELECT k, j, bad AS first FROM s0) USING (k, j) GROUP BY k, j)"""]
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM d),
 win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS g FROM w, unnest(range(1, len(ws) - 6)) AS t(i)),
 rep AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win JOIN rep USING (doc_id, g), range(8) AS r(j) GROUP BY doc_id),
 st AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(text) AS n_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
-  length(regexp_replace(text, '[^.!?]', '', 'g')) AS n_stops, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks,
+  length(regexp_replace(text, '[^.!?]', '', 'g')) AS n_stops,
   len(list_distinct(ws)) AS n_distinct, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
 vt AS MATERIALIZED (SELECT *, {", ".join(f"{x} AS v{j}" for j, x in enumerate(v))} FROM st),
-pats AS MATERIALIZED (SELECT {vs}, count(*)::DOUBLE AS n FROM vt GROUP BY {vs}),
-{", ".join(rounds)}
+pats AS MATERIALIZED (SELECT {vs}, count(*)::DOUBLE AS n, row_number() OVER () AS pid FROM vt GROUP BY {vs}),
+long AS MATERIALIZED ({" UNION ALL ".join(f"SELECT pid, n, {j} AS j, v{j} AS v FROM pats" for j in range(N_RULES))}),
+s0(k, j, bad, prior) AS MATERIALIZED (VALUES {start}),
+{", ".join(rounds)}, {joint(ROUNDS)}, {share(ROUNDS)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 1 / (1 + exp(-({logit}))) >= 0.5 AS kept FROM vt, s{ROUNDS}
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND y >= 0.5 AS kept FROM vt JOIN pats USING ({vs}) JOIN p{ROUNDS} USING (pid) WHERE k = 0
 """
 
 
