@@ -4,11 +4,18 @@ A text is lower-cased (A-Z) and cut into words; one automaton finds every notice
 identifier tag on word boundaries in a single pass. After a tag, the rest of its line is parsed as an
 expression of licence identifiers with `or`, `and`, `with` (weakest to strongest) and brackets, and
 evaluated: `and` takes the least permissive side, `or` the most permissive, `with` eases a
-licence by its exception. What a text states in several places holds together, as `and` does.
+licence by its exception. An identifier of no known family is a licence of which nothing is known:
+it gets no label (after an SPDX tag: its own) and counts as restrictive (0.2). What a text states in
+several places holds together, as `and` does.
+
+A tag is a phrase of TAGS, written with blanks or hyphens, that a colon or an equals sign follows on the
+same line; the hit of the automaton is where its expression starts. Reading a text takes time in
+proportion to its length: words are counted once, and notices within longer ones are found by a sweep.
 
 Defined results: a null text is empty: no words, no labels, score 0; a broken expression still
-yields its known identifiers; repeated rows and ties get equal results; an empty table gives an
-empty result.
+yields its known identifiers; an expression without any known identifier says nothing unless an SPDX tag
+stands before it; repeated rows and ties get equal results; very long texts are read whole; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,24 +39,32 @@ NOTICES = {
     "boost software license": "bsl-1", "creative commons attribution": "cc-by", "cc by sa": "cc-by-sa", "cc by nd": "cc-by-nd", "cc0": "cc0",
     "dedicated to the public domain": "public-domain", "the unlicense": "unlicense", "all rights reserved": "reserved",
 }
-TAGS = ("spdx license identifier", "license identifier", "license", "licence")
-_TAG = re.compile(r"(?i)\b(?:spdx-license-identifier|license-identifier|licen[cs]e)[ \t]*[:=][ \t]*([^\r\n]*)")
-#: how free a user is under a licence, by the family its identifier starts with; else 0.2
-FREEDOM = (
-    ("cc-by-nc", 0.1), ("cc-by-nd", 0.2), ("cc-by-sa", 0.5), ("cc-by", 0.9), ("cc0", 1.0), ("public-domain", 1.0), ("unlicense", 1.0), ("mit", 1.0), ("isc", 1.0),
-    ("bsd", 1.0), ("bsl", 1.0), ("zlib", 1.0), ("apache", 0.95), ("mpl", 0.6), ("lgpl", 0.5), ("agpl", 0.2), ("gpl", 0.3), ("reserved", 0.0),
-)
+TAGS = {"spdx license identifier": True, "license identifier": False, "license": False, "licence": False}
+#: how free a user is under a licence, by the family its identifier starts with
+FREEDOM = {
+    "cc-by-nc": 0.1, "cc-by-nd": 0.2, "cc-by-sa": 0.5, "cc-by": 0.9, "cc0": 1.0, "public-domain": 1.0, "unlicense": 1.0, "wtfpl": 1.0, "0bsd": 1.0, "mit": 1.0, "mit-0": 1.0, "x11": 1.0, "isc": 1.0,
+    "bsd": 1.0, "bsl": 1.0, "zlib": 1.0, "libpng": 1.0, "ncsa": 1.0, "postgresql": 1.0, "psf": 0.95, "python": 0.95, "apache": 0.95, "afl": 0.95, "artistic": 0.8, "ms-pl": 0.8, "unicode": 0.95, "ofl": 0.8, "odc-by": 0.9,
+    "pddl": 1.0, "mpl": 0.6, "epl": 0.6, "cddl": 0.6, "cpl": 0.6, "eupl": 0.4, "lgpl": 0.5, "gfdl": 0.4, "odbl": 0.5, "osl": 0.3, "ms-rl": 0.4, "agpl": 0.2, "gpl": 0.3, "sspl": 0.1, "busl": 0.1, "reserved": 0.0,
+}
+UNKNOWN = 0.2
+#: what follows a family in an identifier: a version, clauses, a region or port
+_SUFFIX = re.compile(r"(-(v?\d[\d.]*\+?|clause|only|or-later|[a-z]{2}|igo|patent|clear|attribution|generic|international|unported|modification|no|nuclear|license|warranty|advertising|acknowledgement|views|source-code|perl|cl\d+|rfn|tlt))*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_TOKEN = re.compile(rb"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def freedom(label: str) -> float:
-    return next((x for family, x in FREEDOM if label == family or label.startswith(f"{family}-")), 0.2)
+@lru_cache(4096)
+def family(identifier: str) -> str | None:
+    """The longest known family that the identifier is of: the family itself, or with what may follow one."""
+    for end in sorted((i for i, c in enumerate(identifier + "-") if c == "-"), reverse=True):
+        if identifier[:end] in FREEDOM and _SUFFIX.fullmatch(identifier, end):
+            return identifier[:end]
+    return None
 
 
-def known(identifier: str) -> bool:
-    return any(identifier == family or identifier.startswith(f"{family}-") for family, _ in FREEDOM)
+def freedom(label: str) -> float:
+    return FREEDOM.get(family(label), UNKNOWN)
 
 
 def normal(identifier: str) -> str:
@@ -60,12 +75,18 @@ def normal(identifier: str) -> str:
 
 def parse(text: str, spdx: bool = False) -> tuple[list[str], float | None]:
     """(identifiers, freedom) of an expression; freedom is None where it is none. Reading stops at
-    the first thing that cannot go on an expression. With `spdx` (after an SPDX tag) every identifier
-    but NONE and NOASSERTION is a licence; else one of no known family says nothing, and the
-    expression goes on without it."""
+    the first thing that cannot go on an expression. An identifier of no known family has no label
+    and UNKNOWN freedom; with `spdx` (after an SPDX tag) it has its own label, and without it an expression
+    of unknown identifiers alone is none. NONE and NOASSERTION say nothing."""
+    data = text.encode()
+    return _parse(data, 0, len(data), spdx)[:2]
+
+
+def _parse(data: bytes, at: int, end: int, spdx: bool) -> tuple[list[str], float | None, int]:
+    """parse() of data[at:end], and where reading stopped."""
     out: list[tuple[float | None, list[str]]] = []
     ops: list[str] = []
-    operand = True  # what may come next
+    operand, any_known, stop = True, False, end  # what may come next; whether some identifier is known
 
     def apply() -> None:
         op, (y, b), (x, a) = ops.pop(), out.pop(), out.pop()
@@ -76,8 +97,8 @@ def parse(text: str, spdx: bool = False) -> tuple[list[str], float | None]:
         else:
             out.append((min(x, y) if op == "and" else max(x, y), a + b))
 
-    for m in _TOKEN.finditer(text):
-        t = m[0]
+    for m in _TOKEN.finditer(data, at, end):
+        t, stop = m[0].decode(), m.start()
         low = t.lower()
         if low in _BINDS:
             if operand:
@@ -100,9 +121,15 @@ def parse(text: str, spdx: bool = False) -> tuple[list[str], float | None]:
             x = normal(t)
             if not operand:
                 break
-            says = known(x) or ops and ops[-1] == "with" or spdx and x not in ("none", "noassertion")
-            out.append((freedom(x), [x]) if says else (None, []))
+            if x in ("none", "noassertion"):
+                out.append((None, []))
+            else:
+                known = family(x) is not None
+                any_known |= (known or spdx) and not (ops and ops[-1] == "with")
+                out.append((freedom(x), [x] if known or spdx else []))
             operand = False
+    else:
+        stop = end
     if operand and ops:  # an operator without a right side
         while ops and ops[-1] != "(" and len(out) < 2:
             ops.pop()
@@ -114,7 +141,7 @@ def parse(text: str, spdx: bool = False) -> tuple[list[str], float | None]:
         else:
             apply()
     out = [o for o in out if o[0] is not None]
-    return ([], None) if not out else (sorted({i for _, ids in out for i in ids}), min(x for x, _ in out))
+    return ([], None, stop) if not out or not any_known else (sorted({i for _, ids in out for i in ids}), min(x for x, _ in out), stop)
 
 
 @lru_cache(1)
@@ -128,29 +155,72 @@ def automaton():
     return a
 
 
+def _longest(found: list[tuple[int, int, str]]) -> set[str]:
+    """The labels of the notices (start, end, label) that lie within no longer one; by start, then longest first."""
+    labels, reach = set(), -1
+    for _, end, label in sorted(found, key=lambda x: (x[0], -x[1])):
+        if end > reach:
+            labels.add(label)
+            reach = end
+    return labels
+
+
+_GAP = b" \t-"
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+def _expressions(text: bytes, low: bytes, tags: list[tuple[int, int, bool]]) -> Iterator[tuple[list[str], float]]:
+    """(identifiers, freedom) after each tag (first word, word after it, SPDX) with only blanks or hyphens between
+    its words and then a colon or an equals sign: of the rest of its line. A tag inside the expression of an
+    earlier one is part of that; of tags that end together the longest counts."""
+    spans = [m.span() for m in _WORD.finditer(low)]
+    done, line_end = -1, -1
+    for first, after, spdx in sorted(tags, key=lambda x: (x[1], x[0])):
+        words = spans[first:after]
+        at = words[-1][1]
+        if words[0][0] < done or any(text[a:b].strip(_GAP) for (_, a), (b, _) in zip(words, words[1:])):
+            continue
+        while text[at : at + 1] in (b" ", b"\t"):
+            at += 1
+        if text[at : at + 1] not in (b":", b"="):
+            continue
+        if line_end < at:
+            line_end = min((e for e in (text.find(b"\n", at), text.find(b"\r", at)) if e >= 0), default=len(text))
+        ids, free, done = _parse(text, at + 1, line_end, spdx)
+        if free is not None:
+            yield ids, free
+
+
 def scan(text: bytes) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
-    words = text.translate(_WORDS).split()
+    low = text.translate(_WORDS)
+    words = low.split()
     line = f" {b' '.join(words).decode('utf-8', 'replace')} "
-    places, base, found, tagged = [], set(), [], False
-    for end, phrase in automaton().iter(line):
+    hits = list(automaton().iter(line))
+    if not hits:
+        return len(words), 0, None, None, "", "", 0.0
+    # the number of blanks before a hit is the number of its first word; counted once over the text
+    places, base, found, tags = [], set(), [], []
+    before, at = 0, 0
+    for end, phrase in hits:  # ends come in order
+        before += line.count(" ", at, end)
+        at = end
+        first = before - len(phrase.split())
         if phrase in BASE:
-            places.append(line.count(" ", 0, end - len(phrase) - 1))
+            places.append(first)
             base.add(BASE[phrase])
         if phrase in NOTICES:
-            found.append((end - len(phrase) - 1, end, NOTICES[phrase]))
-        tagged |= phrase in TAGS
+            found.append((first, before, NOTICES[phrase]))
+        if phrase in TAGS:
+            tags.append((first, before, TAGS[phrase]))
     labels, scores = set(base), [freedom(x) for x in base]
-    for a, b, label in found:  # a notice within a longer one says nothing of its own
-        if not any((c <= a and b < d) or (c < a and b <= d) for c, d, _ in found) and not any(x == label or x.startswith(f"{label}-") for x in base):
+    for label in _longest(found):  # a notice within a longer one says nothing of its own
+        if not any(x == label or x.startswith(f"{label}-") for x in base):
             labels.add(label)
             scores.append(freedom(label))
-    if tagged:
-        for m in _TAG.finditer(text.decode("utf-8", "replace")):
-            ids, free = parse(m[1], spdx=m[0][:4].lower() == "spdx")
-            if free is not None:
-                labels |= set(ids)
-                scores.append(free)
+    for ids, free in _expressions(text, low, tags) if tags else ():
+        labels |= set(ids)
+        scores.append(free)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(scores, default=0.0)
 
 

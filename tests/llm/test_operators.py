@@ -196,8 +196,11 @@ def test_expressions(text, ids, free):
 @pytest.mark.parametrize(
     "text,labels,score",
     [
-        ("SPDX-License-Identifier: EPL-2.0 OR MIT", "epl-2,mit", 1.0), ("SPDX-License-Identifier: EPL-2.0", "epl-2", 0.2), ("SPDX-License-Identifier: MIT AND (0BSD OR OFL-1.1)", "0bsd,mit,ofl-1.1", 0.2), ("SPDX-License-Identifier: NOASSERTION", "", 0.0),
-        ("License: EPL-2.0 OR MIT", "mit", 1.0), ("License: (EPL-2.0 AND MPL-2.0) OR GPL-2.0", "gpl-2,mpl-2", 0.6), ("License: EPL-2.0 WITH Classpath-exception-2.0 AND MIT", "mit", 1.0), ("License: see the MIT file", "", 0.0),
+        ("SPDX-License-Identifier: EPL-2.0 OR MIT", "epl-2,mit", 1.0), ("SPDX-License-Identifier: EPL-2.0", "epl-2", 0.6), ("SPDX-License-Identifier: MIT AND (0BSD OR OFL-1.1)", "0bsd,mit,ofl-1.1", 1.0), ("SPDX-License-Identifier: NOASSERTION", "", 0.0),
+        ("License: EPL-2.0 OR MIT", "epl-2,mit", 1.0), ("License: (EPL-2.0 AND MPL-2.0) OR GPL-2.0", "epl-2,gpl-2,mpl-2", 0.6), ("License: EPL-2.0 WITH Classpath-exception-2.0 AND MIT", "epl-2,mit", 0.7), ("License: see the MIT file", "", 0.0),
+        ("SPDX-License-Identifier: FOO-1.0", "foo-1", 0.2), ("SPDX-License-Identifier: MIT AND FOO-1.0", "foo-1,mit", 0.2), ("SPDX-License-Identifier: MIT OR FOO-1.0", "foo-1,mit", 1.0), ("License: FOO-1.0", "", 0.0),
+        ("License: MIT AND FOO-1.0", "mit", 0.2), ("License: FOO-1.0 OR MIT", "mit", 1.0), ("License: MIT-approved", "", 0.0), ("SPDX-License-Identifier: MIT-approved", "mit-approved", 0.2), ("License: CC-BY-SA-4.0", "cc-by-sa,cc-by-sa-4", 0.5),
+        ("license: BSD-3-Clause", "bsd,bsd-3-clause", 1.0), ("spdx license identifier = mit", "mit", 1.0), ("a licensee: MIT", "", 0.0), ("license MIT", "", 0.0), ("License: GPL-2.0 license: MIT", "gpl-2,mit", 0.3),
     ],
 )
 def test_identifiers_of_unknown_families(text, labels, score):
