@@ -43,18 +43,19 @@ def covered_lines(keyed: DataFrame) -> DataFrame:
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
-    """-> the documents' columns with `text` (null: empty) cut, then n_lines and n_removed long."""
-    base = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = base.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64("text", F.lit(7), "doc_id", F.length("text"))})
-    found = covered_lines(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    both = keyed.join(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("at").alias("_at")), ["_k1", "_k2"], "left")
-    both = both.withColumn("_lines", _lines("text"))
-    covered = F.flatten(F.transform("_at", lambda i: F.sequence(i, i + WINDOW_LINES - 1)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)
-    both = both.withColumn("_stay", F.when(F.col("_at").isNotNull(), stay))
-    cut = F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n")
-    n = F.size("_lines").cast("long")
-    return both.select(*(F.when(F.col("_at").isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), n.alias("n_lines"), F.when(F.col("_at").isNull(), F.lit(0)).otherwise(n - F.size("_stay")).cast("long").alias("n_removed"))
+    """-> the documents' columns with `text` (null: empty) cut, then n_lines and n_removed long, each
+    unless the documents have a column of that name, which stays as it is."""
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "doc_id")
+    keyed = base.select("row", "text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id", F.length("text")).alias("k2"))
+    both = keyed.join(covered_lines(keyed), ["k1", "k2"], "left").withColumn("lines", _lines("text"))
+    covered = F.flatten(F.transform("at", lambda i: F.sequence(i, i + WINDOW_LINES - 1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
+    both = both.withColumn("stay", F.when(F.col("at").isNotNull(), stay))
+    cut = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
+    n = F.size("lines").cast("long")
+    out = [F.when(F.col("at").isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    counts = {"n_lines": n, "n_removed": F.when(F.col("at").isNull(), F.lit(0)).otherwise(n - F.size("stay")).cast("long")}
+    return both.select(*out, *(c.alias(name) for name, c in counts.items() if name not in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

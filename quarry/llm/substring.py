@@ -1,6 +1,8 @@
 """Removal of repeated word windows with Rabin-Karp hashes.
 
-Every window of `window_words` words of every document is hashed by a rolling hash and counted.
+Every window of `window_words` words of every document is hashed by two independent rolling hashes, of
+which 80 bits are kept, and counted: among 10^12 windows 0.4 pairs are expected to agree by chance, among
+the 1.6 * 10^13 of 100 TB about a hundred.
 Counting moves no row per window: a task packs the distinct hashes of a block of documents, sorted
 and delta-coded, into one binary value per hash range; a reducer unpacks the values of a range,
 sorts them together and answers each block with the windows that occur elsewhere too. A hash that
@@ -54,7 +56,7 @@ _SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int
 class _Block:
     def __init__(self, number: int):
         self.number, self.words = number, 0
-        self.keys, self.counts, self.hashes, self.starts = [], [], [], []
+        self.keys, self.counts, self.hashes, self.more, self.starts = [], [], [], [], []
 
     def add(self, part: pa.RecordBatch, k: int) -> None:
         buf, off = textkit.flat(part.column(2))
@@ -63,26 +65,27 @@ class _Block:
         self.keys.append(np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1))
         self.counts.append(np.bincount(doc, minlength=part.num_rows))
         self.hashes.append(h)
+        self.more.append((textkit.windows(textkit.word_hashes(buf, s, e, 1), doc, k, 1)[0] >> U(48)).astype(np.uint16))
         self.starts.append((at + self.words).astype(np.uint32))
         self.words += len(s)
 
     def packed(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        h, at = np.concatenate(self.hashes), np.concatenate(self.starts)
-        order = np.argsort(h)
-        h, at = h[order], at[order]
-        twice = h[1:] == h[:-1]
+        h, x, at = np.concatenate(self.hashes), np.concatenate(self.more), np.concatenate(self.starts)
+        order = np.lexsort((x, h))
+        h, x, at = h[order], x[order], at[order]
+        twice = (h[1:] == h[:-1]) & (x[1:] == x[:-1])
         again = np.concatenate((twice, [False])) | np.concatenate(([False], twice)) if len(h) else np.zeros(0, bool)
         once = np.concatenate(([True], ~twice)) if len(h) else again
         known = np.sort(at[again])
-        h, at = h[once], at[once]
+        h, x, at = h[once], x[once], at[once]
         # the block's own row: its documents, and the windows already known to repeat
         raw, payload = _squeeze(np.concatenate(self.keys).reshape(-1), np.concatenate(self.counts).astype(np.int64), np.diff(known, prepend=np.uint32(0)).astype(np.uint32))
         rows = [(self.number % buckets, self.number, -sum(map(len, self.counts)), raw, payload)]
         cut = np.searchsorted(((h >> U(32)) * U(buckets)) >> U(32), np.arange(buckets + 1, dtype=U))
         for b in np.flatnonzero(np.diff(cut)).tolist():
-            x = h[cut[b] : cut[b + 1]]
-            raw, payload = _squeeze(np.diff(x, prepend=U(0)), at[cut[b] : cut[b + 1]])
-            rows.append((b, self.number, len(x), raw, payload))
+            a, z = cut[b], cut[b + 1]
+            raw, payload = _squeeze(np.diff(h[a:z], prepend=U(0)), at[a:z], x[a:z])
+            rows.append((b, self.number, int(z - a), raw, payload))
             if len(rows) == 512:
                 yield _rows(rows, _SCHEMA)
                 rows = []
@@ -93,15 +96,16 @@ class _Block:
 def _count(bucket: list[tuple]) -> list[tuple]:
     """Rows (block, n, raw, payload) of one hash range -> the same with only the windows whose hash
     another row has too."""
-    out, hashes, starts = [], [], []
+    out, hashes, more, starts = [], [], [], []
     for block, n, raw, payload in bucket:
         x = pa.decompress(payload, raw, codec="zstd", asbytes=True)
         hashes.append(np.cumsum(_planes(x, 0, n, U), dtype=U))
         starts.append(_planes(x, 8 * n, n, np.uint32))
-    h = np.concatenate(hashes)
-    order = np.argsort(h)
-    h = h[order]
-    twice = h[1:] == h[:-1]
+        more.append(_planes(x, 12 * n, n, np.uint16))
+    h, x = np.concatenate(hashes), np.concatenate(more)
+    order = np.lexsort((x, h))
+    h, x = h[order], x[order]
+    twice = (h[1:] == h[:-1]) & (x[1:] == x[:-1])
     found = np.sort(order[np.concatenate((twice, [False])) | np.concatenate(([False], twice))])
     size = np.cumsum([0, *map(len, starts)])
     cut = np.searchsorted(found, size)
@@ -195,20 +199,19 @@ def _cut(text: bytes, cuts: np.ndarray) -> bytes:
 
 def remove_repeats(docs: DataFrame, window_words: int = 35, digest: bool = False) -> DataFrame:
     """Removes each word that a window covers whose word sequence also starts anywhere else.
-    -> the documents' columns with `text` (null: empty) cut, then n_words and n_removed long;
-    with digest, kept_sha256 instead of text: of the kept words, joined by one space."""
-    base = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = base.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64("text", F.lit(7), "doc_id", F.length("text"))})
-    found = intervals(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text"), window_words)
-    both = keyed.join(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("cuts").alias("_cuts")), ["_k1", "_k2"], "left").select(*docs.columns, "_cuts")
-    names = [*("kept_sha256" if digest and c == "text" else c for c in docs.columns), "n_words", "n_removed"]
-    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, [*("string" if c == "text" else base.schema[c].dataType.simpleString() for c in docs.columns), "long", "long"]))
+    -> the documents' columns with `text` (null: empty) cut, then n_words and n_removed long, each
+    unless the documents have a column of that name, which stays as it is; with digest, kept_sha256 instead
+    of text: of the kept words, joined by one space."""
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id"))
+    keyed = base.select("row", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id", F.length("text")).alias("k2"))
+    both = keyed.join(intervals(keyed, window_words), ["k1", "k2"], "left").select("row", "text", "cuts")
+    schema = both.select("row").schema.add("text", "string").add("n_words", "long").add("n_removed", "long")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
                 text, n_words, n_removed = [], [], []
-                for t, c in zip(textkit.strings(part.column(part.schema.get_field_index("text"))), part.column(part.num_columns - 1).to_pylist()):
+                for t, c in zip(textkit.strings(part.column(1)), part.column(2).to_pylist()):
                     cuts = np.frombuffer(c or b"", np.int32).reshape(-1, 2)
                     w = t.split()
                     n_words.append(len(w))
@@ -219,10 +222,10 @@ def remove_repeats(docs: DataFrame, window_words: int = 35, digest: bool = False
                         text.append(hashlib.sha256(b" ".join(w)).hexdigest())
                     else:
                         text.append((_cut(t, cuts) if len(cuts) else t).decode())
-                columns = [pa.array(text, pa.string()) if part.schema.names[i] == "text" else part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["row", "text", "n_words", "n_removed"])
 
-    return both.mapInArrow(apply, schema)
+    out = [F.col("text").alias("kept_sha256" if digest else "text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return both.mapInArrow(apply, schema).select(*out, *(n for n in ("n_words", "n_removed") if n not in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

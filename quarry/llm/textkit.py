@@ -20,8 +20,9 @@ NON_ALNUM[ord("0") : ord("9") + 1] = NON_ALNUM[ord("a") : ord("z") + 1] = NON_AL
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BYTE_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-_WORD_BASE = 0xC2B2AE3D27D4EB4F
+#: bases of two independent families of hashes; odd, so they have an inverse modulo 2^64
+_BYTE_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_WORD_BASES = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 
 
 class _Powers:
@@ -40,7 +41,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_BYTES, _WORDS = [_Powers(b) for b in _BYTE_BASES], [_Powers(b) for b in _WORD_BASES]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -80,19 +81,19 @@ def words(buf: np.ndarray, off: np.ndarray, ends: np.ndarray = SPACE) -> tuple[n
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    up, down = _BYTES.get(len(buf) + 1)
+def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, family: int = 0) -> np.ndarray:
+    up, down = _BYTES[family].get(len(buf) + 1)
     total = np.zeros(len(buf) + 1, U)
     np.cumsum((buf.astype(U) + U(1)) * up[: len(buf)], out=total[1:])
     return mix((total[e] - total[s]) * down[s])
 
 
-def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(hashes: np.ndarray, doc: np.ndarray, k: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Rolling Rabin-Karp hash of every k consecutive words of one document, and where it starts."""
     m = len(hashes)
     if m < k:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    up, down = _WORDS.get(m + 1)
+    up, down = _WORDS[family].get(m + 1)
     total = np.zeros(m + 1, U)
     np.cumsum(hashes * up[:m], out=total[1:])
     at = np.flatnonzero(doc[k - 1 :] == doc[: m - k + 1])
