@@ -30,6 +30,19 @@ def row_key() -> list[Column]:
     return [F.xxhash64(F.col("doc_id"), F.col("text")).alias("k1"), F.xxhash64(F.col("text"), F.lit(7), F.col("doc_id"), F.length("text")).alias("k2")]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row struct of all columns, doc_id long, text string never null, k1, k2: a key of the row): the caller's
+    columns cannot clash with an operator's own."""
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return row.select("row", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.col("row")["text"].cast("string"), F.lit("")).alias("text")).select("*", *row_key())
+
+
+def one_of_each(rows: DataFrame, stay: DataFrame) -> DataFrame:
+    """Of packed() rows those whose key (k1, k2) `stay` has, of whole copies one, unpacked."""
+    names = rows.schema["row"].dataType.names
+    return rows.select("row", "k1", "k2").join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*(F.col("row")[c].alias(c) for c in names))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -51,9 +64,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """A cluster names its shared folder in spark.checkpoint.dir; only where none is named
-    (tests, a laptop) a local folder is set."""
+    """A cluster names its shared folder in spark.checkpoint.dir; only where none is named and the
+    master is this machine (tests, a laptop) a local folder is set."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))

@@ -9,7 +9,8 @@ in hex; containment weighs each shared chunk by its length.
 Defined results: a null text is empty, an empty text has the empty fingerprint; two empty texts
 are alike (1), an empty and another are not (0); equal texts have equal fingerprints; documents
 with equal ids follow each other by text; null ids come first; a lone document is its own
-next; an empty table gives an empty result.
+next; an empty table gives an empty result. Rows that share an id and the first 64 characters stay in one
+task.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,7 @@ from . import common, textkit
 U = np.uint64
 LEAST, NORMAL, MOST = 32, 64, 256
 STRICT_BITS, LOOSE_BITS = 7, 5
+HEAD = 64
 GEAR = (textkit.mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32)
 
 
@@ -103,25 +104,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _ranges(d: DataFrame, n: int) -> DataFrame:
+    """Adds `bucket`, a number of ranges of (at, head) at about equal counts of rows. The cuts come from a
+    bounded sample of keys; an id that holds several cuts is a range of its own, cut further by `head`."""
+    sample = d.select("at", "head", F.xxhash64(F.monotonically_increasing_id()).alias("r")).orderBy("r").limit(max(2000, 50 * n)).collect()
+    keys = sorted((r["at"], r["head"]) for r in sample)
+    cuts = sorted({keys[i * len(keys) // (2 * n)] for i in range(1, 2 * n)} if keys else set())
+    heads: dict[int, list[str]] = {}
+    for at, head in cuts:
+        heads.setdefault(at, []).append(head)
+    hot = [(at, h) for at, h in heads.items() if len(h) > 1]
+    splits = sorted({*heads, *(at + 1 for at, _ in hot)})
+    at_or_below = F.size(F.filter(F.lit(splits) if splits else F.array().cast("array<bigint>"), lambda c: c <= F.col("at")))
+    if not hot:
+        return d.withColumn("bucket", at_or_below)
+    most = 1 + max(len(h) for _, h in hot)
+    table = F.broadcast(d.sparkSession.createDataFrame(hot, "at long, heads array<string>"))  # at most 2 n cuts
+    sub = F.coalesce(F.size(F.filter("heads", lambda h: h <= F.col("head"))), F.lit(0))
+    return d.join(table, "at", "left").withColumn("bucket", at_or_below * most + F.when(F.col("heads").isNull(), F.lit(0)).otherwise(sub)).drop("heads")
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (bucket, extra, doc_id, text), partitioned and sorted so that each document is
-    followed by the next one. Buckets are ranges of ids at about equal counts; each gets the first
-    document of the next range (the last range that of the first) as an extra last row, so the
-    texts are shuffled once and no order over all rows is made in one task."""
+    followed by the next one in the order of (id, text), nulls first. Buckets are ranges of that order; each
+    gets the first document of the next range (the last range that of the first) as an extra last row, so the
+    texts are shuffled once and no order over all rows is made in one task. An id, or null, of very many rows
+    spreads over ranges of its texts' first HEAD characters."""
     spark = docs.sparkSession
     n = common.shuffle_partitions(spark)
-    d = docs.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    cuts = d.select(F.col("at").cast("double").alias("x")).approxQuantile("x", [i / (2 * n) for i in range(1, 2 * n)], 0.1 / n)
-    splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
-    d = d.withColumn("x", F.col("at").cast("double"))
-    d = Bucketizer(splits=splits, inputCol="x", outputCol="b").transform(d).select(F.col("b").cast("int").alias("bucket"), "doc_id", "at", "text")
-    heads = sorted((r["bucket"], r["head"]) for r in d.groupBy("bucket").agg(F.min("at").alias("head")).collect())  # a row a range
-    before = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
-    d = d.join(F.broadcast(spark.createDataFrame(before, "at long, before int")), "at", "left")
-    own = F.struct(F.col("bucket"), F.lit(0).alias("extra"))
-    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(1).alias("extra"))))
-    d = d.withColumn("place", F.explode(places)).select("place.bucket", "place.extra", "at", "doc_id", "text")
-    return d.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", "at", "text").select("bucket", "extra", "doc_id", "text")
+    d = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"), "doc_id", "text", F.substring("text", 1, HEAD).alias("head"))
+    d = _ranges(d, n)
+    # the first key of each range (a row a range), then of the few rows with that key the first text
+    first = sorted((r["bucket"], r["k"]["at"], r["k"]["head"]) for r in d.groupBy("bucket").agg(F.min(F.struct("at", "head")).alias("k")).collect())
+    before = [(b, at, head, first[i - 1][0]) for i, (b, at, head) in enumerate(first)]
+    keys = F.broadcast(spark.createDataFrame(before, "bucket int, at long, head string, before int"))
+    extra = d.join(keys, ["bucket", "at", "head"]).groupBy("before").agg(F.min("text").alias("text"), F.first("at").alias("at"))
+    rows = d.select("bucket", F.lit(0).alias("extra"), "at", "doc_id", "text").unionAll(extra.select(F.col("before").alias("bucket"), F.lit(1).alias("extra"), "at", F.lit(None).cast("long").alias("doc_id"), "text"))
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", "at", "text").select("bucket", "extra", "doc_id", "text")
 
 
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
-"""Near duplicates by the likeness of five-word shingle sets: MinHash candidates, exact Jaccard check.
-
-A text's 64-bit shingle hashes are put through 200 permutations; the minima, five at a time, make
-40 bucket keys, and sets that share a key are candidates. A pair at the limit of 0.8 shares none
-with a chance of (1 - 0.8^5)^40 = 1.3e-7, a closer pair with less. Candidates form clusters, and
-inside a cluster every pair that is not yet connected is compared as whole sets, so no pair below
-the limit is a link. Clusters above `cluster_rows` sets are dealt out as pairs of salted chunks.
+"""SimHash near-duplicates at a Jaccard likeness: the Gray-ordered index finds them, whole sets decide.
+
+Two sets of five-word shingles at the limit of 0.8 differ in some ten of 64 fingerprint bits and now
+and then in twenty, far too many for keys of agreeing bit blocks as in `simhash` (no table would
+hold a pair apart from chance). Which fingerprints meet is therefore decided by the sets' minima under 200
+permutations, five at a time: sets that share one of the 40 keys meet in a cluster; a pair at the
+limit shares none with a chance of (1 - 0.8^5)^40 = 1.3e-7, a closer pair with less. Inside a cluster the
+hierarchical index over Gray-ordered fingerprints finds the pairs within 28 bits (five standard
+deviations beyond what a pair at the limit differs in, the smallest sets included), pruning whole groups,
+and every such pair that is not yet connected is compared as whole sets, so no pair below the limit is a
+link. Clusters above `cluster_rows` sets are dealt out as pairs of salted chunks.
 
 Defined results: words are cut at the six ASCII spaces, A-Z lower-cased; a text of fewer than five
 words is one shingle; null and empty texts are one set; equal sets are linked; an empty table gives
@@ -24,9 +28,9 @@ from pyspark.sql.types import ArrayType, LongType
 
 from . import common, textkit
 from .components import components
-from .simhash import _keys
+from .simhash import FANOUT, GrayIndex
 
-WORDS, LEAST = 5, 0.8
+WORDS, LEAST, BITS = 5, 0.8, 28
 BANDS, ROWS = 40, 5
 CLUSTER_ROWS, CLUSTER_SHINGLES = 512, 1 << 19
 U = np.uint64
@@ -75,14 +79,41 @@ def sketches(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def connect(sets: list[np.ndarray], least: float) -> np.ndarray:
-    """For each set the first set of its component, links being pairs of at least that Jaccard likeness."""
+def set_fingerprint(s: np.ndarray) -> int:
+    """A bit is 1 if over half the hashes of a set have it."""
+    if not len(s):
+        return 0
+    votes = np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(s)).view(U)[0])
+
+
+def candidates(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j, sorted, whose fingerprints differ in at most that many bits, from the Gray-ordered index."""
+    fp = np.array([set_fingerprint(s) for s in sets], U)
+    if len(fp) <= FANOUT:  # one node
+        i, j = np.triu_indices(len(fp), 1)
+        near = np.bitwise_count(fp[i] ^ fp[j]) <= bits
+        return i[near], j[near]
+    rank = fp.copy()
+    for step in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> U(step)
+    order = np.argsort(rank, kind="stable")
+    a, b = (order[x] for x in GrayIndex(np.zeros(len(fp), np.int64), fp[order], bits).near_pairs())
+    i, j = np.minimum(a, b), np.maximum(a, b)
+    by = np.lexsort((j, i))
+    return i[by], j[by]
+
+
+def connect(sets: list[np.ndarray], least: float, bits: int = BITS) -> np.ndarray:
+    """For each set the first set of its component, links being candidates of at least that Jaccard likeness."""
     size = np.array([len(s) for s in sets])
     values, code = np.unique(np.concatenate(sets), return_inverse=True)
     codes = np.split(code, np.cumsum(size)[:-1])
     root, mark = np.arange(len(sets)), np.zeros(len(values), np.int64)
+    first, second = candidates(sets, bits)
+    cut = np.searchsorted(first, np.arange(len(sets) + 1))
     for i in range(len(sets) - 1):
-        j = np.arange(i + 1, len(sets))
+        j = second[cut[i] : cut[i + 1]]
         j = j[(root[j] != root[i]) & (np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]))]
         if not len(j):
             continue
@@ -132,15 +163,14 @@ def deduplicate(docs: DataFrame, least: float = LEAST, cluster_rows: int = CLUST
     """The documents, all columns, without all but one of each component: the one with the
     smallest doc_id (nulls last), of whole copies one."""
     common.ensure_checkpoint_dir(docs.sparkSession)
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), _keys(docs))))
-    text = F.coalesce("text", F.lit("")).alias("text")
-    each = sketches(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), text, "_k1", "_k2")).checkpoint()
+    packed = common.packed(docs)
+    each = sketches(packed.select("doc_id", "text", "k1", "k2")).checkpoint()
     keys = each.select("sid", F.explode("buckets").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("bucket", "lo")
     clusters = components(keys.join(shared, "bucket").where("sid <> lo").select(F.col("sid").alias("u"), F.col("lo").alias("v")))
-    members = each.join(clusters, each["sid"] == clusters["node"]).groupBy("sid").agg(F.min(F.struct("_k1", "_k2")).alias("k"), F.max("n").alias("n"), F.min("component").alias("cluster"))
-    rows = keyed.select("_k1", "_k2", text).join(members.select("k._k1", "k._k2", "sid", "n", "cluster"), ["_k1", "_k2"]).select("cluster", "sid", "n", "text")
+    members = each.join(clusters, each["sid"] == clusters["node"]).groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k"), F.max("n").alias("n"), F.min("component").alias("cluster"))
+    rows = packed.select("k1", "k2", "text").join(members.select("k.k1", "k.k2", "sid", "n", "cluster"), ["k1", "k2"]).select("cluster", "sid", "n", "text")
     comp = components(links(rows, least, cluster_rows))
-    named = each.join(comp, each["sid"] == comp["node"], "left").select(F.coalesce("component", "sid").alias("root"), "doc_id", "_k1", "_k2")
-    stay = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("s")).select("s._k1", "s._k2")
-    return keyed.join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    named = each.join(comp, each["sid"] == comp["node"], "left").select(F.coalesce("component", "sid").alias("root"), "doc_id", "k1", "k2")
+    stay = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("s")).select("s.k1", "s.k2")
+    return common.one_of_each(packed, stay)

@@ -29,7 +29,7 @@ from . import common, textkit
 from .components import components
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
-FANOUT = 8
+FANOUT, SALTS = 8, 16
 U = np.uint64
 
 #: byte -> its eight bits as eight bytes in one word, so 255 of them can be added without a carry
@@ -108,8 +108,25 @@ class GrayIndex:
         for x in self.levels:
             x["mask"] = full ^ (x["and"] ^ x["or"])
 
+    def near_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of rows of one group that differ in at most `limit` bits."""
+        found = [(a, b) for a, b, _ in self._near(whole_groups=False)]
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
     def join(self) -> np.ndarray:
         """For each row the first row of its component within this index."""
+        for a, b, leaf in self._near(whole_groups=True):
+            if leaf is None:
+                self._unite(a, b)
+            else:
+                for p, q in ((a, b), (b, a)):
+                    n = leaf[q + 1] - leaf[q]
+                    self._unite(np.repeat(leaf[p], n), _ranges(leaf[q], n))
+        return self.root
+
+    def _near(self, whole_groups: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(a, b, None): pairs of rows within the limit. With whole_groups also (a, b, leaf): pairs of nodes all
+        of whose rows, from leaf[a] to leaf[a + 1] and likewise of b, are within it."""
         top = len(self.levels) - 1
         a = np.flatnonzero(np.diff(self.levels[top]["leaf"]) > 1)
         stack = [(top, a, a)]
@@ -123,14 +140,11 @@ class GrayIndex:
             least = np.bitwise_count((x["and"][a] ^ x["and"][b]) & fixed)
             near = least <= self.limit
             if k == 0:
-                self._unite(a[near], b[near])
+                yield a[near], b[near], None
                 continue
-            sure = near & (least + np.bitwise_count(~fixed) <= self.limit)
+            sure = near & (least + np.bitwise_count(~fixed) <= self.limit) & whole_groups
             if sure.any():
-                leaf = x["leaf"]
-                for p, q in ((a[sure], b[sure]), (b[sure], a[sure])):
-                    n = leaf[q + 1] - leaf[q]
-                    self._unite(np.repeat(leaf[p], n), _ranges(leaf[q], n))
+                yield a[sure], b[sure], x["leaf"]
             a, b = a[near & ~sure], b[near & ~sure]
             if not len(a):
                 continue
@@ -142,7 +156,6 @@ class GrayIndex:
             same = a[pair] == b[pair]
             keep = ~same | ((ca <= cb) if k > 1 else (ca < cb))
             stack.append((k - 1, ca[keep], cb[keep]))
-        return self.root
 
     def _unite(self, a: np.ndarray, b: np.ndarray) -> None:
         root = self.root
@@ -217,28 +230,27 @@ def links(fps: DataFrame, limit: int = 4, bucket_rows: int = 4096) -> DataFrame:
 
 def near_duplicates(df: DataFrame, shingle_words: int = 4, limit: int = 4) -> DataFrame:
     """(doc_id, text, further columns) -> (doc_id, further columns, fp, root, component_id):
-    the component's smallest doc_id, and `root`, a fingerprint that names the component."""
+    the component's smallest doc_id, and `root`, a fingerprint that names the component. Members of a
+    component meet its smallest id under SALTS keys, so a component of any size spreads."""
     common.ensure_checkpoint_dir(df.sparkSession)
     each = fingerprints(df, shingle_words).checkpoint()
     first = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = components(links(first.select("fp"), limit))
-    named = first.join(comp, first["fp"] == comp["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
+    members = first.join(comp, first["fp"] == comp["node"]).select("fp", "component", "least", salt)
+    ids = members.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = members.join(ids, ["component", "salt"]).select("fp", "component", "component_id")
+    named = first.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return each.join(named, "fp")
 
 
 def deduplicate(docs: DataFrame, shingle_words: int = 4, limit: int = 4) -> DataFrame:
     """The documents, all columns, without all but one of each component: the one with the
     smallest doc_id (nulls last), of whole copies one."""
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), _keys(docs))))
-    found = near_duplicates(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "_k1", "_k2"), shingle_words, limit)
-    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("s")).select("s._k1", "s._k2")
-    return keyed.join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
-
-
-def _keys(docs: DataFrame) -> list[Column]:
-    text = F.coalesce(docs["text"], F.lit(""))
-    return [F.xxhash64(docs["doc_id"], text), F.xxhash64(text, F.lit(7), docs["doc_id"], F.length(text))]
+    rows = common.packed(docs)
+    found = near_duplicates(rows.select("doc_id", "text", "k1", "k2"), shingle_words, limit)
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("s")).select("s.k1", "s.k2")
+    return common.one_of_each(rows, stay)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
