@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common, packing, rules
 
-from .test_dedup import plain_components, plain_fingerprint, plain_lines, plain_removal, words
+from .test_dedup import plain_lines, plain_removal, words
+from .test_near import plain_kept
 
 
 def test_each_stage_against_brute_force(spark, docs, tmp_path):
@@ -20,11 +21,7 @@ def test_each_stage_against_brute_force(spark, docs, tmp_path):
     digest = lambda d: d.select("doc_id", F.sha2("text", 256)).collect()
     lines = {(i, h) for i, n, gone, h in plain_lines(rows[1]) if gone < n}
     assert set(map(tuple, digest(out[2]))) <= lines and len(rows[2]) >= len(lines) - sum(not words(t) for _, t in rows[1]) - 5
-    root = plain_components([plain_fingerprint(t) for _, t in rows[2]])
-    first = {}
-    for (i, _), r in zip(rows[2], root):
-        first[r] = min(i, first.get(r, i))
-    assert sorted(i for i, _ in rows[3]) == sorted(first.values())
+    assert sorted(i for i, _ in rows[3]) == plain_kept(rows[2])
     gone = {i: (n, k) for i, n, k, _ in plain_removal(rows[3], 35)}
     assert {i: len(words(t)) for i, t in rows[4]} == {i: n - k for i, (n, k) in gone.items() if n > k}
     packed = Counter()
