@@ -1,26 +1,27 @@
 """Rank statistics and evaluation metrics by group.
 
-Ranks come from counts of distinct values, cumulated within the group: no window runs over raw rows.
+Ranks come from counts of distinct values, cumulated in ranges of the value within each group: no window runs
+over a whole group, so a group of any size and of as many values spreads over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import prefix_sum, prefix_sums
+
 
 def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, value, n, rank): each distinct value's count and average rank, from 1."""
     n = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return n.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    return prefix_sum(n, value, "n", "_first", by=by).withColumn("rank", F.col("_first") + (F.col("n") + 1) / 2).drop("_first")
 
 
 def auroc(df: DataFrame, by: list[str], score: str, label: str, out: str = "auroc") -> DataFrame:
     """Area under the ROC curve from the rank sum of the positives; null where a side is empty."""
     n = df.groupBy(*by, score).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    r = n.withColumn("_rank", F.sum("_n").over(w) - (F.col("_n") - 1) / 2)
+    r = prefix_sum(n, score, "_n", "_first", by=by).withColumn("_rank", F.col("_first") + (F.col("_n") + 1) / 2)
     g = r.groupBy(*by).agg(F.sum("_p").alias("_np"), F.sum(F.col("_n") - F.col("_p")).alias("_nn"), F.sum(F.col("_p") * F.col("_rank")).alias("_rs"))
     value = (F.col("_rs") - F.col("_np") * (F.col("_np") + 1) / 2) / (F.col("_np") * F.col("_nn"))
     return g.select(*by, F.when((F.col("_np") > 0) & (F.col("_nn") > 0), value).alias(out))
@@ -41,9 +42,9 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str, out: str = "rho", con
 
 def auprc(df: DataFrame, by: list[str], score: str, label: str, key: str, out: str = "auprc") -> DataFrame:
     """Mean precision at the positives, by falling score; ties in the order of the key."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), key).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumns({"_tp": F.sum(label).over(w), "_k": F.count("*").over(w)})
-    return d.groupBy(*by).agg((F.sum(F.col("_tp") / F.col("_k") * F.col(label)) / F.nullif(F.sum(label), F.lit(0))).alias(out))
+    d = df.withColumns({"_falling": -F.col(score), "_one": F.lit(1)})
+    d = prefix_sums(d, "_falling", {"_tp": label, "_k": "_one"}, [key], by)
+    return d.groupBy(*by).agg((F.sum((F.col("_tp") + F.col(label)) / (F.col("_k") + 1) * F.col(label)) / F.nullif(F.sum(label), F.lit(0))).alias(out))
 
 
 def calibration_error(df: DataFrame, by: list[str], p: str, y: str, bins: int = 10, out: str = "ece") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.order import quantiles
 from .base import query, r6
 from .projections import _DIMS, _LONG, coded, long_vectors
 
@@ -62,7 +63,8 @@ def _(t):
 
 @query("agg7_exact_quantiles", "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def _(t):
-    return t("events").groupBy("event_type").agg(*(r6(F.percentile("value", p)).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.99, "p99"))))
+    q = quantiles(t("events"), ["event_type"], "value", {"p25": 0.25, "p50": 0.5, "p99": 0.99})
+    return q.select("event_type", *(r6(n).alias(n) for n in ("p25", "p50", "p99")))
 
 
 @query("agg8_saturated_top", f"SELECT dim, label, count(*) AS n FROM {_Q} WHERE q >= 60 GROUP BY 1, 2 ORDER BY n DESC, dim, label LIMIT 100")
@@ -156,7 +158,7 @@ def _(t):
 
 @query("agg21_median_of_groups", "SELECT round(median(m), 6) AS med FROM (SELECT avg(o_totalprice) AS m FROM orders GROUP BY o_custkey)")
 def _(t):
-    return t("orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("m")).agg(r6(F.median("m")).alias("med"))
+    return t("orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("m")).transform(lambda d: quantiles(d, [], "m", {"med": 0.5})).select(r6("med").alias("med"))
 
 
 @query("agg22_wins", "SELECT count(*) FILTER (a > b) AS wins, count(*) FILTER (a = b) AS ties, count(*) AS n FROM (SELECT max(l_quantity) FILTER (l_linenumber = 1) AS a, max(l_quantity) FILTER (l_linenumber = 2) AS b FROM lineitem GROUP BY l_orderkey)")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions import stats
+from ..operators.order import quantiles
 from .aggregates import one
 from .base import query, r6
 from .projections import _LONG, long_vectors
@@ -89,7 +90,9 @@ def _(t):
 @query("evl7_operating_point", f"WITH e AS {_E}, tau AS (SELECT lang, quantile_cont(s, 0.95) AS tau FROM e WHERE y = 0 GROUP BY 1 HAVING count(*) >= 5) SELECT lang, round(max(tau), 6) AS tau, round(avg(CASE WHEN s > tau THEN 1.0 ELSE 0 END) FILTER (y = 1), 6) AS recall, round(avg(CASE WHEN s > tau THEN 1.0 ELSE 0 END) FILTER (y = 0), 6) AS fpr FROM e JOIN tau USING (lang) GROUP BY lang")
 def _(t):
     e = scored(t)
-    tau = e.where("y = 0").groupBy("lang").agg(F.percentile("s", 0.95).alias("tau"), F.count("*").alias("n")).where("n >= 5").drop("n")
+    neutral = e.where("y = 0")
+    enough = neutral.groupBy("lang").agg(F.count("*").alias("n")).where("n >= 5").select("lang")
+    tau = quantiles(neutral, ["lang"], "s", {"tau": 0.95}).join(enough, "lang")
     above = F.when(F.col("s") > F.col("tau"), 1.0).otherwise(0.0)
     return e.join(F.broadcast(tau), "lang").groupBy("lang").agg(r6(F.max("tau")).alias("tau"), r6(F.avg(F.when(F.col("y") == 1, above))).alias("recall"), r6(F.avg(F.when(F.col("y") == 0, above))).alias("fpr"))
 
@@ -196,8 +199,20 @@ _POISSON = "CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u <
 def resampled(df, key: str):
     """Each row in REPLICATES resamples `b`, `k` times: a Poisson(1) draw from a hash of key and replicate."""
     d = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
-    u = stats.hash_unit(F.col(key), F.col("b"))
-    return d.withColumn("k", F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).otherwise(4))
+    return d.withColumn("k", draws(stats.hash_unit(F.col(key), F.col("b"))))
+
+
+def draws(u):
+    return F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).otherwise(4)
+
+
+def resampled_sums(df, by: str, key: str, values: dict):
+    """(by, b, names): the sums of each resample in one pass over the rows: REPLICATES weighted sums a value, added up
+    map-side, no row is repeated."""
+    k = [draws(stats.hash_unit(F.col(key), F.lit(b))) for b in range(REPLICATES)]
+    sums = df.groupBy(by).agg(*(F.sum(x * v).alias(f"{name}_{b}") for b, x in enumerate(k) for name, v in values.items()))
+    each = F.array(*(F.struct(F.lit(b).alias("b"), *(F.col(f"{name}_{b}").alias(name) for name in values)) for b in range(REPLICATES)))
+    return sums.select(by, F.inline(each))
 
 
 def bounds(df, by: str, value: str):
@@ -209,17 +224,25 @@ _RE = f"(SELECT *, {_POISSON} AS k FROM (SELECT *, {_U.format('g')} AS u FROM {{
 
 @query("evl19_bootstrap_mean", "SELECT event_type, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM (SELECT event_type, b, sum(k * value) / sum(k) AS m FROM " + _RE.format("(SELECT *, event_id AS g FROM events)") + " GROUP BY 1, 2) GROUP BY 1")
 def _(t):
-    m = resampled(t("events").select("event_id", "event_type", "value"), "event_id").groupBy("event_type", "b").agg((F.sum(F.col("k") * F.col("value")) / F.sum("k")).alias("m"))
-    return bounds(m, "event_type", "m")
+    s = resampled_sums(t("events"), "event_type", "event_id", {"a": F.col("value"), "n": F.lit(1.0)})
+    return bounds(s.withColumn("m", F.col("a") / F.col("n")), "event_type", "m")
+
+
+@query("evl20_bootstrap_ratio", "SELECT l_returnflag, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM (SELECT l_returnflag, b, sum(k * a) / sum(k * n) AS m FROM " + _RE.format("(SELECT l_returnflag, l_orderkey || '|' || l_linenumber AS g, l_tax AS a, l_discount AS n FROM lineitem)") + " GROUP BY 1, 2) GROUP BY 1")
+def _(t):
+    """Rows are resampled, and the ratio of the sums is taken."""
+    d = t("lineitem").select("l_returnflag", F.concat_ws("|", "l_orderkey", "l_linenumber").alias("g"), F.col("l_tax").alias("a"), F.col("l_discount").alias("n"))
+    s = resampled_sums(d, "l_returnflag", "g", {"a": F.col("a"), "n": F.col("n")})
+    return bounds(s.withColumn("m", F.col("a") / F.col("n")), "l_returnflag", "m")
 
 
-@query("evl20_bootstrap_ratio", "SELECT l_returnflag, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM (SELECT l_returnflag, b, sum(k * a) / sum(k * n) AS m FROM " + _RE.format("(SELECT l_returnflag, l_suppkey AS g, sum(l_tax) AS a, sum(l_discount) AS n FROM lineitem GROUP BY 1, 2)") + " GROUP BY 1, 2) GROUP BY 1")
-@query("evl21_clustered_bootstrap", "SELECT l_returnflag, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM (SELECT l_returnflag, b, sum(k * a) / sum(k * n) AS m FROM " + _RE.format("(SELECT l_returnflag, l_suppkey AS g, sum(l_tax) AS a, sum(l_discount) AS n FROM lineitem GROUP BY 1, 2)") + " GROUP BY 1, 2) GROUP BY 1")
+@query("evl21_clustered_bootstrap", "SELECT l_linestatus, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM (SELECT l_linestatus, b, avg(m) AS v FROM (SELECT l_linestatus, l_returnflag, b, sum(k * a) / sum(k * n) AS m FROM " + _RE.format("(SELECT l_linestatus, l_returnflag, l_suppkey AS g, sum(l_tax) AS a, sum(l_discount) AS n FROM lineitem GROUP BY 1, 2, 3)") + " GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1")
 def _(t):
-    """Clusters (suppliers) are summed first, then resampled: replicates multiply clusters, not rows."""
-    c = t("lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_tax").alias("a"), F.sum("l_discount").alias("n"))
-    m = resampled(c, "l_suppkey").groupBy("l_returnflag", "b").agg((F.sum(F.col("k") * F.col("a")) / F.sum(F.col("k") * F.col("n"))).alias("m"))
-    return bounds(m, "l_returnflag", "m")
+    """Clusters (suppliers) are summed first and resampled within each inner group (return flag): replicates multiply
+    clusters, not rows. The value of a replicate is the mean over the inner groups of the ratio of sums."""
+    c = t("lineitem").groupBy("l_linestatus", "l_returnflag", "l_suppkey").agg(F.sum("l_tax").alias("a"), F.sum("l_discount").alias("n"))
+    m = resampled(c, "l_suppkey").groupBy("l_linestatus", "l_returnflag", "b").agg((F.sum(F.col("k") * F.col("a")) / F.sum(F.col("k") * F.col("n"))).alias("m"))
+    return bounds(m.groupBy("l_linestatus", "b").agg(F.avg("m").alias("v")), "l_linestatus", "v")
 
 
 @query("evl22_paired_t", f"SELECT count(*) AS n, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t_, count(*) FILTER (a > b) AS plus FROM {_TYPES} WHERE a IS NOT NULL AND b IS NOT NULL")
@@ -285,7 +308,7 @@ def _(t):
 @query("evl27_slice_stats", f"WITH n AS (SELECT vec_id, label, sqrt(sum(x * x)) AS n, sum(x) AS sx FROM {_LONG} GROUP BY 1, 2), q AS (SELECT label, quantile_cont(n, 0.9) AS q FROM n GROUP BY 1) SELECT label, round(avg(n), 6) AS mean_all, round(avg(n) FILTER (n >= q), 6) AS mean_top, count(*) FILTER (n >= q) AS n_top FROM n JOIN q USING (label) GROUP BY 1")
 def _(t):
     n = t("embeddings").select("label", S.norm(F.col("embedding")).alias("n"))
-    q = n.groupBy("label").agg(F.percentile("n", 0.9).alias("q"))
+    q = quantiles(n, ["label"], "n", {"q": 0.9})
     top = F.col("n") >= F.col("q")
     return n.join(F.broadcast(q), "label").groupBy("label").agg(r6(F.avg("n")).alias("mean_all"), r6(F.avg(F.when(top, F.col("n")))).alias("mean_top"), one(top).alias("n_top"))
 

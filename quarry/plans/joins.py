@@ -40,11 +40,11 @@ def _(t):
     return t("events").groupBy("user_id").agg(r6(mean("purchase") - mean("click")).alias("d")).where("d IS NOT NULL")
 
 
-@query("joi5_same_query_sets", "WITH s AS (SELECT l_orderkey, l_returnflag, list_sort(list(DISTINCT l_linenumber)) AS q, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) SELECT a.l_orderkey, round(a.v - b.v, 6) AS d FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'A' AND b.l_returnflag = 'N' AND len(a.q) = len(b.q)")
+@query("joi5_same_query_sets", "WITH s AS (SELECT l_orderkey, l_returnflag, list_sort(list(DISTINCT l_linenumber)) AS q, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) SELECT a.l_orderkey, round(a.v - b.v, 6) AS d FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'A' AND b.l_returnflag = 'N' AND a.q = b.q")
 def _(t):
     s = t("lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.sort_array(F.collect_set("l_linenumber")).alias("q"), F.sum("l_quantity").alias("v"))
-    a, b = (s.where(F.col("l_returnflag") == x).select("l_orderkey", F.size("q").alias("n"), F.col("v").alias(f"v_{x}")) for x in ("A", "N"))
-    return a.join(b, ["l_orderkey", "n"]).select("l_orderkey", r6(F.col("v_A") - F.col("v_N")).alias("d"))
+    a, b = (s.where(F.col("l_returnflag") == x).select("l_orderkey", "q", F.col("v").alias(f"v_{x}")) for x in ("A", "N"))
+    return a.join(b, ["l_orderkey", "q"]).select("l_orderkey", r6(F.col("v_A") - F.col("v_N")).alias("d"))
 
 
 @query("joi6_canonical_name", "SELECT n.n_nationkey, r.r_name FROM nation n JOIN region r ON replace(upper(r.r_name), ' ', '_') = (SELECT replace(upper(r2.r_name), ' ', '_') FROM region r2 WHERE r2.r_regionkey = n.n_regionkey)")
@@ -106,20 +106,17 @@ def _(t):
     return t("events").where("event_type IN ('purchase', 'click')").select("user_id", "event_id", "event_type", "value").groupBy("user_id").applyInPandas(pair, "user_id long, purchase long, click long")
 
 
-@query("joi13_position_lookup", "WITH d AS (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS start FROM documents) SELECT p, max(doc_id) AS doc_id FROM (SELECT unnest(range(0, 100000, 1000)) AS p) JOIN d ON d.start <= p GROUP BY p")
+@query("joi13_position_lookup", "WITH d AS (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS start FROM documents) SELECT p, max(doc_id) AS doc_id FROM (SELECT unnest(range(0, (SELECT sum(n_chars) FROM documents)::BIGINT, 1000)) AS p) JOIN d ON d.start <= p GROUP BY p")
 def _(t):
+    """Every thousandth position of the concatenated corpus and its document. Documents and positions meet in
+    cells of 8,192 positions, a document in each cell that it covers."""
     from ..operators.order import prefix_sum
 
-    starts = prefix_sum(t("documents").select("doc_id", "n_chars"), "doc_id", "n_chars", "start").select(F.lit(0).alias("g"), F.col("start").alias("p"), "doc_id")
-    p = t.spark.range(0, 100000, 1000).select(F.lit(0).alias("g"), F.col("id").alias("p"))
-    # positions and documents meet in ranges of positions, not in one group
-    cell = F.floor(F.col("p") / 8192)
-    last = starts.groupBy(cell.alias("c")).agg(F.max("doc_id").alias("m"))
-    before = last.select("c", F.max("m").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, 0)).alias("b"))
-    own = asof.as_of_backward(p.withColumn("g", cell), starts.withColumn("g", cell), ["g"], "p", "doc_id", "doc_id")
-    filled = own.join(F.broadcast(before.groupBy().agg(F.sort_array(F.collect_list(F.struct("c", "b"))).alias("m"))))
-    earlier = F.array_max(F.transform(F.filter("m", lambda x: x["c"] < F.col("g")), lambda x: x["b"]))
-    return filled.select("p", F.coalesce("doc_id", earlier).alias("doc_id"))
+    d = prefix_sum(t("documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n")), "doc_id", "n", "start").where("n > 0")
+    total = d.agg(F.sum("n")).first()[0] or 0
+    cells = d.select("doc_id", "start", "n", F.explode(F.sequence(F.expr("start div 8192"), F.expr("(start + n - 1) div 8192"))).alias("cell"))
+    p = t.spark.range(0, total, 1000).select(F.col("id").alias("p"), F.expr("id div 8192").alias("cell"))
+    return p.join(cells, "cell").where("start <= p AND p < start + n").select("p", "doc_id")
 
 
 @query("joi14_semi_join_list", "SELECT p_partkey, p_brand, n FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 50) x ON p_partkey = l_partkey")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.order import quantiles
 from .base import query, r6
 
 
@@ -87,7 +88,7 @@ def _(t):
 def _(t):
     d = dimensions(t)
     whole = d.agg(F.sqrt(F.sum(F.col("zero") * F.col("zero"))).alias("len"))
-    middle = t("embeddings").agg(F.median(S.norm(F.col("embedding"))).alias("mid"))
+    middle = quantiles(t("embeddings").select(S.norm(F.col("embedding")).alias("n")), [], "n", {"mid": 0.5})
     k = F.col("sd") / F.col("len")
     return d.join(F.broadcast(whole)).join(F.broadcast(middle)).select("dim", r6(k).alias("kappa"), r6(k / F.col("mid")).alias("lambda_"))
 
@@ -96,7 +97,7 @@ def _(t):
 def _(t):
     e = t("embeddings").select("vec_id", S.norm(F.col("embedding")).alias("n"), F.posexplode("embedding").alias("dim", "x"))
     d = e.join(F.broadcast(dimensions(t)), "dim").withColumn("l", F.abs(F.col("x").cast("double") - F.col("zero")) / F.col("n"))
-    return d.groupBy("dim").agg(r6(F.percentile("l", 0.5)).alias("p50"), r6(F.percentile("l", 0.95)).alias("p95"))
+    return quantiles(d, ["dim"], "l", {"p50": 0.5, "p95": 0.95}).select("dim", r6("p50").alias("p50"), r6("p95").alias("p95"))
 
 
 @query("prj11_raw_fold", f"SELECT round(sum(((dim % 7) - 3) / sd), 6) AS w_sum, round(0.5 - sum(((dim % 7) - 3) / sd * zero), 6) AS bias FROM {_DIMS}")
@@ -188,10 +189,13 @@ def _(t):
     return t("documents").select("doc_id", F.substring(F.sha1("text"), 1, 10).alias("id"))
 
 
-@query("hsh4_set_identity", "SELECT label, sha1(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id)) AS id FROM embeddings GROUP BY label")
+@query("hsh4_set_identity", "SELECT label, sha1(string_agg(h, ',' ORDER BY b)) AS id FROM (SELECT label, vec_id // 1024 AS b, sha1(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id)) AS h FROM embeddings GROUP BY 1, 2) GROUP BY label")
 def _(t):
+    """In two levels, so that no list holds a label's ids: a digest for each 1,024 consecutive ids, then of the digests."""
     ids = F.transform(F.sort_array(F.collect_list("vec_id")), lambda x: x.cast("string"))
-    return t("embeddings").groupBy("label").agg(F.sha1(F.array_join(ids, ",")).alias("id"))
+    blocks = t("embeddings").groupBy("label", F.expr("vec_id div 1024").alias("b")).agg(F.sha1(F.array_join(ids, ",")).alias("h"))
+    digests = F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])
+    return blocks.groupBy("label").agg(F.sha1(F.array_join(digests, ",")).alias("id"))
 
 
 @query("mth1_distance_bucket", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 0 ELSE ceil(l_discount / 0.03 - 1e-9)::BIGINT END AS b FROM lineitem")

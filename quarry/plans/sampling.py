@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.order import row_index
 from .base import query
 
 
@@ -58,6 +59,12 @@ def _(t):
     return t("events").orderBy(F.md5(F.concat(F.lit("7|"), F.col("event_id").cast("string"))), "event_id").limit(100).select("event_id")
 
 
+def hash_order(d):
+    """Adds idx: the row's number within its source in the order of md5(doc_id), in ranges of the hash."""
+    h = d.withColumn("_md5", md5_of("doc_id")).withColumn("_h", F.conv(F.substring("_md5", 1, 12), 16, 10).cast("double"))
+    return row_index(h, "_h", "idx", ["_md5", "doc_id"], ["source"]).drop("_md5", "_h")
+
+
 @query("smp4_stride", "SELECT event_id FROM events WHERE event_id % 97 = 0 OR event_id BETWEEN (SELECT count(*) // 2 FROM events) AND (SELECT count(*) // 2 FROM events) + 63")
 def _(t):
     half = t("events").agg(F.expr("count(*) div 2").alias("h"))
@@ -68,14 +75,12 @@ def _(t):
 def _(t):
     d = t("documents").select("doc_id", "source")
     quota = d.agg(F.ceil(100 / F.count_distinct("source")).alias("q"))
-    w = Window.partitionBy("source").orderBy(md5_of("doc_id"), "doc_id")
-    return d.withColumn("rn", F.row_number().over(w)).join(F.broadcast(quota)).where("rn <= q").select("doc_id")
+    return hash_order(d).join(F.broadcast(quota)).where("idx < q").select("doc_id")
 
 
 @query("spl1_stratified", "SELECT doc_id, CASE WHEN rn <= floor(0.8 * n + 0.5) THEN 'train' WHEN rn <= floor(0.9 * n + 0.5) THEN 'test' ELSE 'val' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents)")
 def _(t):
-    w = Window.partitionBy("source").orderBy(md5_of("doc_id"), "doc_id")
-    d = t("documents").select("doc_id", "source", F.row_number().over(w).alias("rn"))
+    d = hash_order(t("documents").select("doc_id", "source")).withColumn("rn", F.col("idx") + 1)
     d = d.join(t("documents").groupBy("source").agg(F.count("*").alias("n")), "source")
     upto = lambda p: F.col("rn") <= F.floor(F.col("n") * p + 0.5)
     return d.select("doc_id", F.when(upto(0.8), "train").when(upto(0.9), "test").otherwise("val").alias("split"))
@@ -88,8 +93,6 @@ def _(t):
 
 @query("spl3_contiguous", "SELECT o_orderkey, CASE WHEN rn < 1000 THEN 'a' WHEN rn < 1500 THEN 'b' ELSE 'c' END AS part FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders)")
 def _(t):
-    from ..operators.order import row_index
-
     d = row_index(t("orders").select("o_orderkey"), "o_orderkey")
     return d.select("o_orderkey", F.when(F.col("idx") < 1000, "a").when(F.col("idx") < 1500, "b").otherwise("c").alias("part"))
 

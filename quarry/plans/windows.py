@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.order import prefix_sum
+from ..operators.order import prefix_sum, row_index
 from .base import query, r6
 from .evaluation import _LAYERS, layers
 from .text import _OPENING, opening
@@ -222,8 +222,8 @@ def _(t):
 
 @query("top9_length_batches", "SELECT lang, b, count(*) AS n, (count(*) * max(n_chars) - sum(n_chars))::BIGINT AS padding FROM (SELECT lang, n_chars, (row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1) // 16 AS b FROM documents) GROUP BY 1, 2")
 def _(t):
-    b = F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id")) - 1) / 16)
-    return t("documents").select("lang", "n_chars", b.alias("b")).groupBy("lang", "b").agg(F.count("*").alias("n"), (F.count("*") * F.max("n_chars") - F.sum("n_chars")).alias("padding"))
+    d = row_index(t("documents").select("lang", "n_chars", "doc_id"), "n_chars", "idx", ["doc_id"], ["lang"])
+    return d.select("lang", "n_chars", F.floor(F.col("idx") / 16).alias("b")).groupBy("lang", "b").agg(F.count("*").alias("n"), (F.count("*") * F.max("n_chars") - F.sum("n_chars")).alias("padding"))
 
 
 @query("top10_longest", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 3")
