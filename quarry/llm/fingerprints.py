@@ -106,8 +106,10 @@ def edited(text: str, following: str) -> str:
 
 def _ranges(d: DataFrame, n: int) -> DataFrame:
     """Adds `bucket`, a number of ranges of (at, head) at about equal counts of rows. The cuts come from a
-    bounded sample of keys; an id that holds several cuts is a range of its own, cut further by `head`."""
-    sample = d.select("at", "head", F.xxhash64(F.monotonically_increasing_id()).alias("r")).orderBy("r").limit(max(2000, 50 * n)).collect()
+    random sample of about 50 keys a range; an id that holds several cuts is a range of its own, cut further by `head`."""
+    total, most = max(1, d.count()), max(2000, 100 * n)  # the count is read from the files' footers
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(total)) < most
+    sample = d.select("at", "head", drawn.alias("drawn")).where("drawn").collect()
     keys = sorted((r["at"], r["head"]) for r in sample)
     cuts = sorted({keys[i * len(keys) // (2 * n)] for i in range(1, 2 * n)} if keys else set())
     heads: dict[int, list[str]] = {}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common, textkit
 
 U = np.uint64
-BLOCK_WORDS = 4 << 20
+BLOCK_WORDS = 2 << 20
 _PACKED = "bucket int, block long, n int, raw int, payload binary"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 

@@ -9,8 +9,11 @@ from ..functions import scalars as S
 
 
 def checkpointed(spark: SparkSession) -> None:
-    """A cluster names its shared folder in spark.checkpoint.dir; a local folder is set only where none is named."""
+    """A cluster names its shared folder in spark.checkpoint.dir; a local folder is set only where none is named
+    and the master is this machine."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))

@@ -179,7 +179,7 @@ def _(t):
     return t("documents").select("doc_id", S.md5_int(F.col("doc_id").cast("string")).alias("seed"))
 
 
-@query("hsh2_crc32_seed")
+@query("hsh2_crc32_seed", "SELECT doc_id, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce(range(8), lambda a, i: xor(a >> 1, (a & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT) AS seed FROM documents")
 def _(t):
     return t("documents").select("doc_id", F.crc32(F.col("doc_id").cast("string")).alias("seed"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,32 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
     return d if keep_bad else d.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
+def read_roots(spark: SparkSession, roots: list[str], schema: str, key: list[str], exclude: str | None = None) -> DataFrame:
+    """JSON lines below several roots, at any depth, without the files whose path below matches `exclude`; of rows with one
+    key the one from the first root counts (of these the first file's). Adds `root`."""
+    parts = []
+    for i, root in enumerate(roots):
+        full = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_corrupt_record", T.StringType())])
+        d = spark.read.schema(full).option("recursiveFileLookup", True).json(root, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+        d = d.withColumn("_path", F.col("_metadata.file_path")).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        if exclude:
+            d = d.where(~F.col("_path").rlike(exclude))
+        parts.append(d.withColumns({"root": F.lit(root), "_at": F.lit(i)}))
+    union = parts[0]
+    for d in parts[1:]:
+        union = union.unionByName(d)
+    rest = [c for c in union.columns if c not in (*key, "_at", "_path")]
+    return union.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("_at", "_path")).alias("_r")).select(*key, "_r.*")
+
+
+def sections(text: Column) -> Column:
+    """array<struct<section, body>>: what follows each line ---NAME--- up to the next one, trimmed."""
+    marked = F.regexp_replace(text, r"(?m)^---([A-Z][A-Z0-9_ ]*)---[ \t]*$", "\x01$1\x02")
+    parts = F.filter(F.split(marked, "\x01"), lambda x: F.contains(x, F.lit("\x02")))
+    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.transform(parts, lambda x: F.struct(F.substring_index(x, "\x02", 1).alias("section"), trim(F.substring_index(x, "\x02", -1)).alias("body")))
+
+
 def read_objects(spark: SparkSession, path: str, schema: str, nested: str) -> DataFrame:
     """A folder of files with one JSON object each; the fields of `nested` become columns nested_field."""
     d = spark.read.schema(schema).json(path, multiLine=True)
@@ -104,6 +131,19 @@ def merge_new(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti"))
 
 
+def write_atomic(df: DataFrame, path: str) -> None:
+    """Writes beside the path and renames, so that a reader finds the old output or the new one, whole."""
+    spark = df.sparkSession
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    here = spark._jvm.org.apache.hadoop.fs.Path
+    fs = here(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(here(path)):
+        fs.delete(here(path), True)
+    if not fs.rename(here(new), here(path)):
+        raise OSError(f"cannot rename {new} to {path}")
+
+
 def write_split(df: DataFrame, path: str, by: list[str]) -> None:
     """One folder for each value; Spark's committer renames finished files only."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import queue
+import threading
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,3 +62,72 @@ def merge_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+
+
+def complete_documents(stream: DataFrame, key: str, window: str, windows: str, value: str) -> DataFrame:
+    """(key, n, total): a document once all of its `windows` windows have come, whatever their order and however often;
+    a pending document's state has its distinct window numbers and their sum, and goes once it is emitted."""
+
+    def step(ids: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seen, total = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0.0)
+        wanted = 0
+        for b in batches:
+            for w, n, v in zip(b[window], b[windows], b[value]):
+                wanted = int(n)
+                if w >= 0 and int(w) not in seen:
+                    seen.add(int(w))
+                    total += float(v)
+        done = -1 in seen  # emitted before: only repeats follow
+        if not done and wanted and len(seen) == wanted:
+            yield pd.DataFrame({key: [ids[0]], "n": [wanted], "total": [total]})
+            seen, total = {-1}, 0.0
+        state.update((sorted(seen), total))
+
+    kind = stream.schema[key].dataType.simpleString()
+    return stream.select(key, window, windows, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, total double", "seen array<long>, total double", "append", "NoTimeout")
+
+
+class Uploader:
+    """Hands results to `upload` in one background thread with at most `depth` waiting: put() blocks beyond that, and
+    the first error is raised by the next put() or by close(), after which nothing more is uploaded."""
+
+    def __init__(self, upload: Callable, depth: int = 1):
+        self._queue: queue.Queue = queue.Queue(depth)
+        self._error: BaseException | None = None
+        self._thread = threading.Thread(target=self._run, args=(upload,), daemon=True)
+        self._thread.start()
+
+    def _run(self, upload: Callable) -> None:
+        while (item := self._queue.get()) is not None:
+            if self._error is None:
+                try:
+                    upload(item[0])
+                except BaseException as e:
+                    self._error = e
+
+    def _check(self) -> None:
+        if self._error is not None:
+            raise RuntimeError("upload failed") from self._error
+
+    def put(self, item) -> None:
+        self._check()
+        self._queue.put((item,))
+
+    def close(self) -> None:
+        self._queue.put(None)
+        self._thread.join()
+        self._check()
+
+
+def ready_shards(parts: DataFrame, shard: str, part: str, expected: str) -> DataFrame:
+    """(shard): those of which as many distinct parts are there as expected."""
+    return parts.groupBy(shard).agg(F.count_distinct(part).alias("n"), F.max(expected).alias("of")).where("n = of").select(shard)
+
+
+def wait_until(ready: Callable[[], bool], poll: float, limit: float) -> None:
+    """Asks every `poll` seconds whether a shard is ready; raises after `limit` seconds."""
+    end = time.monotonic() + limit
+    while not ready():
+        if time.monotonic() + poll > end:
+            raise TimeoutError(f"not ready after {limit} s")
+        time.sleep(poll)

@@ -15,15 +15,6 @@ from quarry.plans.joins import hungarian
 from quarry.sources import io
 
 
-@pytest.mark.parametrize(
-    "source,target,expected",
-    [([(0, 2), (2, 4)], [(0, 4)], [-1, 0]), ([(0, 6)], [(0, 2), (2, 4), (4, 6)], [2]), ([(i, i + 1) for i in range(8)], [(0, 4), (4, 8)], [-1, -1, -1, 0, 0, 0, 0, 1]), ([(0, 0), (0, 3)], [(0, 0), (0, 2)], [-1, 1])],
-)
-def test_prefix_map(spark, source, target, expected):
-    df = spark.createDataFrame([(source, target)], "s array<struct<s:int,e:int>>, t array<struct<s:int,e:int>>")
-    assert df.select(asof.prefix_map(F.col("s"), F.col("t"))).first()[0] == expected
-
-
 def test_as_of_takes_the_last_not_after(spark):
     left = spark.createDataFrame([(1, 5, "a"), (1, 1, "b"), (2, 9, "c"), (3, 9, "d")], "g int, at int, id string")
     right = spark.createDataFrame([(1, 5, 10), (1, 2, 20), (2, 10, 30), (3, 9, None)], "g int, at int, v int")
