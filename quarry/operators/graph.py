@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,42 @@ def shortest_path(n: int, edges: list, start: int, target: int) -> list[int]:
     return path
 
 
+def batch_distances(cells: int, edges: list, conn: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Steps from each cell to the target, -1 where there is no path, of many graphs with the same possible edges: conn
+    (graphs x edges) tells which are open. All graphs advance by one step at a time."""
+    n = len(conn)
+    dist = np.full((n, cells), -1, np.int32)
+    front = np.zeros((n, cells), bool)
+    front[np.arange(n), target] = True
+    step = 0
+    while front.any():
+        dist[front] = step
+        further = np.zeros_like(front)
+        for k, (a, b) in enumerate(edges):
+            further[:, b] |= front[:, a] & conn[:, k]
+            further[:, a] |= front[:, b] & conn[:, k]
+        front, step = further & (dist < 0), step + 1
+    return dist
+
+
+def batch_paths(cells: int, edges: list, conn: np.ndarray, start: np.ndarray, target: np.ndarray) -> list[list[int]]:
+    """The shortest path of each graph that takes the smallest next cell; empty where there is none."""
+    dist = batch_distances(cells, edges, conn, target)
+    n = len(conn)
+    rows, at = np.arange(n), start.astype(np.int64)
+    steps = [np.where(dist[rows, at] >= 0, at, -1)]
+    for _ in range(int(dist[rows, at].max(initial=0))):
+        nxt = np.full(n, cells)
+        for k, (a, b) in enumerate(edges):
+            for u, v in ((a, b), (b, a)):
+                fits = (at == u) & conn[:, k] & (dist[:, u] > 0) & (dist[:, v] == dist[:, u] - 1)
+                nxt[fits] = np.minimum(nxt[fits], v)
+        moved = nxt < cells
+        at = np.where(moved, nxt, at)
+        steps.append(np.where(moved, at, -1))
+    return [[int(c) for c in row if c >= 0] for row in np.stack(steps, 1)] if n else []
+
+
 def is_spanning_tree(n: int, edges: list) -> bool:
     return len(edges) == n - 1 and min(distances(n, edges, 0)) >= 0
 
@@ -88,3 +125,14 @@ def per_row(df: DataFrame, f, schema: str) -> DataFrame:
             yield pd.DataFrame([f(r) for r in pdf.to_dict("records")])
 
     return df.mapInPandas(run, schema)
+
+
+def per_batch(df: DataFrame, f, schema: str) -> DataFrame:
+    """Applies f(frame) -> frame to Arrow batches of rows, each row one small graph."""
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield f(pdf)
+
+    return df.mapInPandas(run, schema)

@@ -117,12 +117,12 @@ def _(t):
     return p.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
 
 
-@query("prj18_free_edges", "SELECT o_orderkey, list_sort(list_filter(range(0, 24), lambda e: CASE WHEN e < 12 THEN e // 3 <> o_orderkey % 4 ELSE (e - 12) % 4 <> o_orderkey % 4 END)) AS free FROM orders")
+@query("prj18_free_edges", "SELECT o_orderkey, array_to_string(list_filter(range(0, 24), lambda e: CASE WHEN e < 12 THEN e // 3 <> o_orderkey % 4 ELSE (e - 12) % 4 <> o_orderkey % 4 END), ',') AS free FROM orders")
 def _(t):
     """Of the 24 edges of a 4 x 4 grid those that touch no cell of the order's blocked row (across) or column (down)."""
     k = F.col("o_orderkey") % 4
     free = F.filter(F.sequence(F.lit(0), F.lit(23)), lambda e: F.when(e < 12, F.floor(e / 3) != k).otherwise((e - 12) % 4 != k))
-    return t("orders").select("o_orderkey", F.transform(free, lambda e: e.cast("long")).alias("free"))
+    return t("orders").select("o_orderkey", F.array_join(F.transform(free, lambda e: e.cast("string")), ",").alias("free"))
 
 
 @query("prj19_rotated_code", "SELECT o_custkey, side, round(sum((CASE WHEN o_totalprice > 150000 THEN 1 ELSE -1 END) * pow(3, -((k + side) % 4))), 6) AS code FROM (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 4 AS k FROM orders), range(4) AS s(side) GROUP BY 1, 2")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import graph
 from .base import query, r6
 
@@ -70,13 +73,32 @@ def _grid_edges(side: int = SIDE) -> list[tuple[int, int]]:
     return [(r * side + c, r * side + c + 1) for r in range(side) for c in range(side - 1)] + [(r * side + c, (r + 1) * side + c) for r in range(side - 1) for c in range(side)]
 
 
-def mazes(t, n: int = 60):
-    """(maze, conn, start, target): grids with a hash-drawn set of open edges, one for each small nation key."""
+def mazes(t):
+    """(maze, conn, start, target): for each customer a grid with a hash-drawn set of open edges."""
     e = len(_grid_edges())
-    ids = t.spark.range(n).select(F.col("id").alias("maze"))
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(e - 1)), lambda i: F.pmod(F.xxhash64(F.col("maze"), i), F.lit(100)) < 62)
-    cell = lambda s: F.pmod(F.xxhash64(F.col("maze"), F.lit(s)), F.lit(SIDE * SIDE)).cast("int")
-    return ids.select("maze", drawn.alias("conn"), cell(1).alias("start"), cell(2).alias("target"))
+    ids = t("customer").select(F.col("c_custkey").alias("maze"))
+    draw = lambda x: S.md5_int(F.concat_ws("|", F.col("maze").cast("string"), x))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(e - 1)), lambda i: draw(i.cast("string")) % 100 < 62)
+    cell = lambda s: (draw(F.lit(s)) % (SIDE * SIDE)).cast("int")
+    return ids.select("maze", drawn.alias("conn"), cell("start").alias("start"), cell("target").alias("target"))
+
+
+_H = "('0x' || left(md5(c_custkey || '|' || {}), 8))::BIGINT"
+_BFS = f"""
+WITH RECURSIVE m AS (SELECT c_custkey AS maze, {_H.format("'start'")} % {SIDE * SIDE} AS start, {_H.format("'target'")} % {SIDE * SIDE} AS target FROM customer),
+g AS (SELECT e, CASE WHEN e < 20 THEN e // 4 * 5 + e % 4 ELSE e - 20 END AS a, CASE WHEN e < 20 THEN e // 4 * 5 + e % 4 + 1 ELSE e - 15 END AS b FROM range(40) AS r(e)),
+o AS (SELECT c_custkey AS maze, a, b FROM customer, g WHERE {_H.format("e")} % 100 < 62),
+both_ AS MATERIALIZED (SELECT maze, a, b FROM o UNION ALL SELECT maze, b, a FROM o),
+bfs AS (SELECT maze, target AS cell, 0 AS d FROM m UNION SELECT bfs.maze, x.b, d + 1 FROM bfs JOIN both_ x ON x.maze = bfs.maze AND x.a = bfs.cell WHERE d < 24),
+best AS MATERIALIZED (SELECT maze, cell, min(d) AS d FROM bfs GROUP BY 1, 2)"""
+
+
+def _conn(pdf):
+    return np.stack(pdf.conn.to_numpy()).astype(bool)
+
+
+def _joined(lists) -> list[str]:
+    return [",".join(map(str, x)) for x in lists]
 
 
 def _open(row) -> list[tuple[int, int]]:
@@ -94,19 +116,24 @@ def _tree(row) -> list[tuple[int, int]]:
     return out
 
 
-@query("gra1_bfs_distance")
+@query("gra1_bfs_distance", f"{_BFS} SELECT maze, string_agg(coalesce(d, -1)::VARCHAR, ',' ORDER BY cell) AS dist FROM (SELECT maze, cell FROM m, range({SIDE * SIDE}) AS c(cell)) LEFT JOIN best USING (maze, cell) GROUP BY 1")
 def _(t):
-    return graph.per_row(mazes(t), lambda r: {"maze": r["maze"], "dist": graph.distances(SIDE * SIDE, _open(r), r["target"])}, "maze long, dist array<int>")
+    """Steps from each cell to the target; a batch of grids at a time."""
+    f = lambda p: pd.DataFrame({"maze": p.maze, "dist": _joined(graph.batch_distances(SIDE * SIDE, _grid_edges(), _conn(p), p.target.to_numpy()))})
+    return graph.per_batch(mazes(t), f, "maze long, dist string")
 
 
-@query("gra2_shortest_path")
+@query("gra2_shortest_path", f"{_BFS}, nxt AS MATERIALIZED (SELECT x.maze, x.cell, min(y.cell) AS nb FROM best x JOIN both_ e ON e.maze = x.maze AND e.a = x.cell JOIN best y ON y.maze = x.maze AND y.cell = e.b AND y.d = x.d - 1 GROUP BY 1, 2), p AS (SELECT m.maze, start AS cell, start::VARCHAR AS path, d FROM m JOIN best ON best.maze = m.maze AND cell = start UNION ALL SELECT p.maze, nb, path || ',' || nb, d - 1 FROM p JOIN nxt ON nxt.maze = p.maze AND nxt.cell = p.cell) SELECT m.maze, coalesce(path, '') AS path FROM m LEFT JOIN p ON p.maze = m.maze AND d = 0")
 def _(t):
-    return graph.per_row(mazes(t), lambda r: {"maze": r["maze"], "path": graph.shortest_path(SIDE * SIDE, _open(r), r["start"], r["target"])}, "maze long, path array<int>")
+    f = lambda p: pd.DataFrame({"maze": p.maze, "path": _joined(graph.batch_paths(SIDE * SIDE, _grid_edges(), _conn(p), p.start.to_numpy(), p.target.to_numpy()))})
+    return graph.per_batch(mazes(t), f, "maze long, path string")
 
 
-@query("gra3_component")
+@query("gra3_component", f"{_BFS.replace('target AS cell, 0', 'start AS cell, 0')} SELECT maze, string_agg(cell::VARCHAR, ',' ORDER BY cell) AS nodes FROM best GROUP BY 1")
 def _(t):
-    return graph.per_row(mazes(t), lambda r: {"maze": r["maze"], "nodes": [i for i, d in enumerate(graph.distances(SIDE * SIDE, _open(r), r["start"])) if d >= 0]}, "maze long, nodes array<int>")
+    """The cells that the start reaches."""
+    f = lambda p: pd.DataFrame({"maze": p.maze, "nodes": _joined(np.flatnonzero(d >= 0) for d in graph.batch_distances(SIDE * SIDE, _grid_edges(), _conn(p), p.start.to_numpy()))})
+    return graph.per_batch(mazes(t), f, "maze long, nodes string")
 
 
 @query("gra4_spanning_tree")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quarry import plans, streaming
 from quarry.functions import stats
-from quarry.operators import asof, order
-from quarry.plans import learned
+from quarry.operators import asof, graph, order
+from quarry.plans import learned, structures
 from quarry.sources import io
 
 from .conftest import SMALL
@@ -141,12 +141,6 @@ def test_nearest_length_pairs(spark):
     assert {tuple(r) for r in rows(spark, "joi11_nearest_length")} == expected and bisect_left([1], 1) == 0
 
 
-def test_degenerate_texts(spark):
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    found = rows(spark, "flt3_degenerate")
-    assert {r["doc_id"] for r in found} <= set(texts)
-
-
 def test_documents_are_emitted_once_complete(spark, tmp_path):
     """Windows come in any order, some twice and in two batches; one document never gets its last one."""
     r = random.Random(2)
@@ -200,3 +194,57 @@ def test_sections(spark):
 
 def test_crc32(spark):
     assert all(r["seed"] == zlib.crc32(str(r["doc_id"]).encode()) for r in rows(spark, "hsh2_crc32_seed"))
+
+
+def test_batches_of_grids_against_single_ones():
+    r = np.random.default_rng(3)
+    edges = structures._grid_edges()
+    n = structures.SIDE**2
+    conn, start, target = r.random((60, len(edges))) < 0.6, r.integers(0, n, 60), r.integers(0, n, 60)
+    dist, paths = graph.batch_distances(n, edges, conn, target), graph.batch_paths(n, edges, conn, start, target)
+    for c, s, t, d, p in zip(conn, start, target, dist, paths):
+        own = [e for e, o in zip(edges, c) if o]
+        assert d.tolist() == graph.distances(n, own, int(t)) and p == graph.shortest_path(n, own, int(s), int(t))
+
+
+def test_walks_and_edits_of_the_mazes(spark):
+    """Each walk goes along open edges and never onto the avoided target; each edit keeps a spanning tree."""
+    edges = structures._grid_edges()
+    mazes = {r["maze"]: r.asDict() for r in structures.mazes(plans.base.Tables(spark, SMALL)).collect()}
+    walks = rows(spark, "gra10_random_walk")
+    assert {r["maze"] for r in walks} == set(mazes)
+    for r in walks:
+        m = mazes[r["maze"]]
+        good = {x for (a, b), o in zip(edges, m["conn"]) if o for x in ((a, b), (b, a))}
+        assert r["walk"][0] == m["start"] and all(x in good for x in zip(r["walk"], r["walk"][1:])) and m["target"] not in r["walk"][1:]
+    for r in rows(spark, "gra9_counterfactual_edit"):
+        if r["closed"]:
+            tree = [e for e in structures._tree(mazes[r["maze"]]) if sorted(e) != sorted(r["closed"])]
+            assert graph.is_spanning_tree(structures.SIDE**2, tree + [tuple(r["opened"])])
+    for r in rows(spark, "gra4_spanning_tree"):
+        assert r["tree"] and r["steps"] >= 0
+    for r in rows(spark, "gra7_rollout_judge"):
+        assert 0 <= r["valid_share"] <= 1
+        assert not r["clean"] or r["valid_share"] in (0, 1)  # 0: the walk began on the target
+
+
+def test_degenerate_flags_against_plain(spark):
+    import re
+
+    def plain(x):
+        x = x or ""
+        share = sum(c.isascii() and c.isalpha() or c == " " for c in x) / max(1, len(x))
+        small = len(x) >= 60 and len(zlib.compress(x.encode())) / max(1, len(x.encode())) < 0.35
+        return small or share < 0.55 or bool(re.search(r"\s{5,}|(.)\1{7,}|(\.\.\..*){3}", x))
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    found = {r["doc_id"]: r["degenerate"] for r in rows(spark, "flt3_degenerate")}
+    assert found == {i: plain(x) for i, x in texts.items()} and any(found.values()) and not all(found.values())
+
+
+def test_match_positions_against_a_loop(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    word = lambda x, i: 0 <= i < len(x) and (x[i].isalnum() or x[i] == "_")
+    for r in rows(spark, "str5_match_positions"):
+        x = texts[r["doc_id"]]
+        assert r["at"] == [i for i in range(len(x) - 2) if x[i : i + 3] == "the" and not word(x, i - 1) and not word(x, i + 3)]
