@@ -30,19 +30,31 @@ def first_by_aggregate(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*key, "_r.*")
 
 
+def frequent_shingles(sets: DataFrame, most: int = 1000, sample: int = 20_000) -> DataFrame:
+    """One row: `hot`, the (at most `most`) shingles that stand in over 1 % of a sample of about `sample` sets."""
+    share = max(1, sets.count() // sample)
+    drawn = sets.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(share)) == 0)
+    n = drawn.count()
+    top = drawn.select(F.explode("s").alias("h")).groupBy("h").count().where(F.col("count") > max(20, n // 100)).orderBy(F.desc("count"), "h").limit(most)
+    return top.agg(F.collect_list("h").alias("hot"))
+
+
 def shingle_pairs(df: DataFrame, key: str, text: str, n: int = 8, least: float = 0.6) -> DataFrame:
     """(a, b, jaccard), a < b: pairs whose n-word shingle sets have at least that Jaccard likeness.
 
-    Prefix filtering: a pair that alike shares one of the first |A| - ceil(least |A|) + 1 shingles, in
-    the order of a hash, of each side, so only those are joined and the rest is counted in the
-    candidate pairs. Texts that are equal as shingle sets are joined once, as one set."""
+    Prefix filtering: a pair that alike shares one of the first |A| - ceil(least |A|) + 1 shingles of each side, in
+    any order that is the same for all: here by hash, but frequent shingles last, so boilerplate joins nothing
+    unless a text has little else. Only (id, size, shingle) rows of the prefixes are joined; the rest is
+    counted in the candidate pairs. Texts that are equal as shingle sets are joined once, as one set."""
     checkpointed(df.sparkSession)
     s = df.select(F.col(key).alias("id"), F.sort_array(F.transform(S.shingles(F.col(text), n), lambda x: F.xxhash64(x))).alias("s"))
     sets = s.groupBy("s").agg(F.min("id").alias("id")).checkpoint()
     k = F.size("s") - F.ceil(F.lit(least) * F.size("s")).cast("int") + 1
-    p = sets.select("id", "s", F.explode(F.slice("s", F.lit(1), k)).alias("h"))
-    short = p.select(F.col("id").alias("a"), F.size("s").alias("na"), "h")
-    other = p.select(F.col("id").alias("b"), F.size("s").alias("nb"), "h")
+    last = sets.join(F.broadcast(frequent_shingles(sets)))  # at most 1,000 shingles
+    prefix = last.select("id", F.size("s").alias("n"), F.slice(F.concat(F.array_except("s", "hot"), F.array_intersect("s", "hot")), F.lit(1), k).alias("p"))
+    p = prefix.select("id", "n", F.explode("p").alias("h"))
+    short = p.select(F.col("id").alias("a"), F.col("n").alias("na"), "h")
+    other = p.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
     close = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
     candidates = short.join(other, "h").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
     full = candidates.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
