@@ -231,17 +231,23 @@ def links(fps: DataFrame, limit: int = 4, bucket_rows: int = 4096) -> DataFrame:
 def near_duplicates(df: DataFrame, shingle_words: int = 4, limit: int = 4) -> DataFrame:
     """(doc_id, text, further columns) -> (doc_id, further columns, fp, root, component_id):
     the component's smallest doc_id, and `root`, a fingerprint that names the component. Members of a
-    component meet its smallest id under SALTS keys, so a component of any size spreads."""
+    component meet its smallest id under SALTS keys, and so do the copies of a crowded fingerprint (over a
+    thousandth of all rows, so there are at most a thousand): a component or a fingerprint of any size spreads."""
     common.ensure_checkpoint_dir(df.sparkSession)
     each = fingerprints(df, shingle_words).checkpoint()
-    first = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    first = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    most = max(1000, each.count() // 1000)
     comp = components(links(first.select("fp"), limit))
     salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
     members = first.join(comp, first["fp"] == comp["node"]).select("fp", "component", "least", salt)
     ids = members.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     linked = members.join(ids, ["component", "salt"]).select("fp", "component", "component_id")
-    named = first.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return each.join(named, "fp")
+    some = F.when(F.col("copies") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    named = first.join(linked, "fp", "left").select("fp", F.explode(some).alias("salt"), F.coalesce("component", "fp").alias("root"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    crowded = F.broadcast(first.where(F.col("copies") > most).select("fp", F.lit(SALTS).alias("salts")))
+    rest = [c for c in each.columns if c != "fp"]
+    own = each.join(crowded, "fp", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int")))
+    return own.join(named, ["fp", "salt"]).select(*rest, "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle_words: int = 4, limit: int = 4) -> DataFrame:
