@@ -47,7 +47,8 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
 
     w = text.lower().split()  # of bytes: A-Z, and the six ASCII spaces
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))] if w else [], U))
+    n = max(1, len(w) - words + 1) if w else 0
+    return np.unique(np.fromiter((digest(b" ".join(w[i : i + words]), 42) for i in range(n)), U, n))
 
 
 def bucket_keys(s: np.ndarray) -> list[int]:

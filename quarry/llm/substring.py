@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common, textkit
 
 U = np.uint64
-BLOCK_WORDS = 2 << 20
+BLOCK_WORDS, SLICE_BYTES = 2 << 20, 1 << 20
 _PACKED = "bucket int, block long, n int, raw int, payload binary"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -71,6 +71,7 @@ class _Block:
 
     def packed(self, buckets: int) -> Iterator[pa.RecordBatch]:
         h, x, at = np.concatenate(self.hashes), np.concatenate(self.more), np.concatenate(self.starts)
+        self.hashes, self.more, self.starts = [], [], []
         order = np.lexsort((x, h))
         h, x, at = h[order], x[order], at[order]
         twice = (h[1:] == h[:-1]) & (x[1:] == x[:-1])
@@ -140,7 +141,7 @@ def intervals(keyed: DataFrame, window_words: int = 35, block_words: int = BLOCK
         number = TaskContext.get().partitionId() << 32
         block = _Block(number)
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, limit=SLICE_BYTES):
                 block.add(part, window_words)
                 if block.words >= block_words:
                     yield from block.packed(buckets)

@@ -25,6 +25,10 @@ _BYTE_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _WORD_BASES = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 
 
+#: bytes, or words, that hashes are computed of at a time
+CHUNK = 1 << 19
+
+
 class _Powers:
     def __init__(self, base: int):
         self.base, self.inverse, self.n = base, pow(base, -1, 1 << 64), 0
@@ -82,22 +86,36 @@ def words(buf: np.ndarray, off: np.ndarray, ends: np.ndarray = SPACE) -> tuple[n
 
 
 def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, family: int = 0) -> np.ndarray:
-    up, down = _BYTES[family].get(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * up[: len(buf)], out=total[1:])
-    return mix((total[e] - total[s]) * down[s])
+    """Hashes of the words buf[s:e], which follow each other. A hash does not depend on where its word stands, so long
+    buffers are gone through in runs of words of about CHUNK bytes, whose powers are all that is kept."""
+    out, at = np.empty(len(s), U), 0
+    while at < len(s):
+        end = max(at + 1, int(np.searchsorted(e, s[at] + CHUNK, "right")))
+        first, last = int(s[at]), int(e[end - 1])
+        up, down = _BYTES[family].get(last - first + 1)
+        total = np.zeros(last - first + 1, U)
+        np.cumsum((buf[first:last].astype(U) + U(1)) * up[: last - first], out=total[1:])
+        out[at:end] = mix((total[e[at:end] - first] - total[s[at:end] - first]) * down[s[at:end] - first])
+        at = end
+    return out
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, k: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Rolling Rabin-Karp hash of every k consecutive words of one document, and where it starts."""
+    """Rolling Rabin-Karp hash of every k consecutive words of one document, and where it starts; in runs of CHUNK words."""
     m = len(hashes)
     if m < k:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    up, down = _WORDS[family].get(m + 1)
-    total = np.zeros(m + 1, U)
-    np.cumsum(hashes * up[:m], out=total[1:])
     at = np.flatnonzero(doc[k - 1 :] == doc[: m - k + 1])
-    return mix((total[at + k] - total[at]) * down[at]), at
+    out = np.empty(len(at), U)
+    for first in range(0, m, CHUNK):
+        a, b = np.searchsorted(at, (first, first + CHUNK))
+        run = hashes[first : first + CHUNK + k]
+        up, down = _WORDS[family].get(len(run) + 1)
+        total = np.zeros(len(run) + 1, U)
+        np.cumsum(run * up[: len(run)], out=total[1:])
+        here = at[a:b] - first
+        out[a:b] = mix((total[here + k] - total[here]) * down[here])
+    return out, at
 
 
 def strings(arr: pa.Array) -> list[bytes]:

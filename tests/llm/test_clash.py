@@ -51,3 +51,21 @@ def test_gray_candidates_are_all_pairs_within_the_limit():
     plain = [(i, j) for i in range(70) for j in range(i + 1, 70) if (fp[i] ^ fp[j]).bit_count() <= 20]
     assert 0 < len(plain) < 70 * 69 // 2
     assert list(zip(*(x.tolist() for x in near.candidates(sets, 20)))) == plain
+
+
+def test_hashes_do_not_depend_on_the_runs(monkeypatch):
+    from quarry.llm import textkit
+
+    r = np.random.default_rng(5)
+    buf = r.choice(np.frombuffer(b"abcdefgh \n", np.uint8), 5000)
+    off = np.array([0, 0, 700, 2500, 5000])
+    s, e, doc = textkit.words(buf, off)
+    for family in (0, 1):
+        whole = textkit.word_hashes(buf, s, e, family)
+        rolling = textkit.windows(whole, doc, 7, family)
+        with monkeypatch.context() as m:
+            m.setattr(textkit, "CHUNK", 13)
+            assert (textkit.word_hashes(buf, s, e, family) == whole).all()
+            again = textkit.windows(whole, doc, 7, family)
+            assert (again[0] == rolling[0]).all() and (again[1] == rolling[1]).all()
+    assert (textkit.word_hashes(buf, s, e, 0) != textkit.word_hashes(buf, s, e, 1))[e - s > 1].all()  # one byte is no polynomial
