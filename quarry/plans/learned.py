@@ -144,16 +144,16 @@ def _(t):
 
 _NEAR = f"""
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-s AS (SELECT q.vec_id, q.label, b.label AS l, list_dot_product(q.v, b.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(b.v, b.v)) AS cos, b.vec_id AS other FROM e q JOIN e b ON q.vec_id % 50 = 0 AND b.vec_id % 50 <> 0),
+s AS (SELECT q.vec_id, q.label, b.label AS l, list_dot_product(q.v, b.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(b.v, b.v)) AS cos, b.vec_id AS other FROM e q JOIN e b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(cos, 9) DESC, other) AS rn FROM s)"""
 
 
 def nearest(t, k: int = 15, query_rows: int = 512, vector_rows: int = 8192) -> DataFrame:
-    """(vec_id, label, near): for the queries (ids that 50 divides, a stated set) the k nearest of all other vectors by
+    """(vec_id, label, near): for the queries (ids that 100 divides, a stated set) the k nearest of all other vectors by
     cosine, as structs (o, other, l, cos). Blocks of queries meet blocks of vectors; each pair of blocks is one small
     matrix product that keeps its best k a query, and these are merged."""
     e = t("embeddings").select("vec_id", "label", S.unit(F.col("embedding")).alias("u"))
-    q, rest = e.where("vec_id % 50 = 0"), e.where("vec_id % 50 <> 0")
+    q, rest = e.where("vec_id % 100 = 0"), e
     blocks = lambda d, rows: max(1, -(-d.count() // rows))
     nq, nv = blocks(q, query_rows), blocks(rest, vector_rows)
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
@@ -167,7 +167,8 @@ def nearest(t, k: int = 15, query_rows: int = 512, vector_rows: int = 8192) -> D
             cos = np.stack(a.u.to_numpy()) @ np.stack(b.u.to_numpy()).T
             other, label = b.vec_id.to_numpy(), b.label.to_numpy()
             for i, c in zip(a.vec_id.to_numpy(), cos):
-                top = np.lexsort((other, -np.round(c, 9)))[:k]
+                top = np.lexsort((other, -np.round(c, 9)))[: k + 1]
+                top = top[other[top] != i][:k]  # all but itself
                 out.append(pd.DataFrame({"vec_id": i, "cos": c[top], "other": other[top], "l": label[top]}))
         return pd.concat(out) if out else pd.DataFrame({"vec_id": [], "cos": [], "other": [], "l": []})
 

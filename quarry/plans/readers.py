@@ -10,9 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import dedup
 from ..operators.dedup import checkpointed
 from ..sources import io
 from .base import query, r6
+from .text import _PAIRS, _SHINGLES
 
 
 def scratch(spark: SparkSession) -> str:
@@ -69,10 +71,10 @@ def _(t):
     return io.read_csv(t.spark, folder, "p_partkey long, p_type string, p_retailprice double").withColumn("p_retailprice", F.round("p_retailprice", 2))
 
 
-@query("src15_named_sections", "SELECT doc_id, 'HEAD' AS section, lang AS body FROM documents UNION ALL SELECT doc_id, 'BODY', trim(regexp_replace(left(text, 60), '[^A-Za-z ]', '', 'g')) FROM documents")
+@query("src15_named_sections", "SELECT doc_id, 'HEAD' AS section, lang AS body FROM documents UNION ALL SELECT doc_id, 'BODY', trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) FROM documents")
 def _(t):
     """Sections of a text that lines ---NAME--- begin, trimmed; what stands before the first is no section."""
-    body = F.trim(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", ""))
+    body = F.trim(F.regexp_replace("text", "[^A-Za-z ]", ""))
     d = t("documents").select("doc_id", F.concat(F.lit("preamble\n---HEAD---\n"), "lang", F.lit("\n\n---BODY---\n  "), body, F.lit(" \n")).alias("doc"))
     return d.select("doc_id", F.inline(io.sections(F.col("doc"))))
 
@@ -106,15 +108,14 @@ def _(t):
     return d.select("doc_id", F.posexplode(prefix_map(F.col("src"), F.col("tgt"))).alias("i", "last_"))
 
 
-@query("joi12_shared_shingles", "WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 200)), '[a-z0-9'']+')) AS ws FROM documents), x AS (SELECT doc_id, unnest(ws) AS g FROM w), f AS (SELECT g FROM x GROUP BY g HAVING count(*) BETWEEN 2 AND 20) SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id JOIN f ON f.g = a.g GROUP BY 1, 2 HAVING count(*) >= 3")
+@query("joi12_shared_shingles", f"WITH {_PAIRS}, c AS (SELECT doc_id, e.id AS class_id FROM (SELECT doc_id, list_sort(s) AS s FROM {_SHINGLES}) d JOIN e USING (s)), l AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY 1) SELECT doc_id, class_id, coalesce(n, 0) AS links FROM c LEFT JOIN l ON l.id = c.class_id")
 def _(t):
-    """Pairs of texts that share three or more words of their openings that 2 to 20 texts have (rarer and more frequent words join nothing)."""
-    w = F.array_distinct(F.regexp_extract_all(F.lower(F.substring("text", 1, 200)), F.lit("([a-z0-9']+)")))
-    x = t("documents").select("doc_id", F.explode(w).alias("g"))
-    rare = x.groupBy("g").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 20").select("g")
-    x = x.join(rare, "g")
-    p = x.withColumnRenamed("doc_id", "a").join(x.withColumnRenamed("doc_id", "b"), "g").where("a < b")
-    return p.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
+    """For each text the smallest id with an equal shingle set (its class), and how many other classes have a likeness of 0.6."""
+    d = t("documents")
+    p = dedup.shingle_pairs(d, "doc_id", "text")
+    links = p.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n"))
+    classes = dedup.shingle_classes(d, "doc_id", "text")
+    return classes.join(links, "first", "left").select(F.col("id").alias("doc_id"), F.col("first").alias("class_id"), F.coalesce("n", F.lit(0)).alias("links"))
 
 
 @query("prj18_free_edges", "SELECT o_orderkey, array_to_string(list_filter(range(0, 24), lambda e: CASE WHEN e < 12 THEN e // 3 <> o_orderkey % 4 ELSE (e - 12) % 4 <> o_orderkey % 4 END), ',') AS free FROM orders")
@@ -177,20 +178,24 @@ def _(t):
     return out.select("event_id")
 
 
-@query("top9_padding_budget", "WITH RECURSIVE d AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS i FROM documents WHERE doc_id % 100 = 0), r AS (SELECT lang, i, n_chars, 1 AS size, 0 AS batch FROM d WHERE i = 1 UNION ALL SELECT d.lang, d.i, d.n_chars, CASE WHEN (r.size + 1) * d.n_chars <= 4000 THEN r.size + 1 ELSE 1 END, CASE WHEN (r.size + 1) * d.n_chars <= 4000 THEN r.batch ELSE r.batch + 1 END FROM r JOIN d ON d.lang = r.lang AND d.i = r.i + 1) SELECT lang, batch::BIGINT AS batch, count(*) AS n, max(n_chars)::BIGINT AS longest FROM r GROUP BY 1, 2")
+@query("top9_padding_budget", "WITH RECURSIVE d AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS i FROM documents), r AS (SELECT lang, i, n_chars, 1 AS size, 1 AS batch FROM d WHERE i = 1 UNION ALL SELECT d.lang, d.i, d.n_chars, CASE WHEN (r.size + 1) * d.n_chars <= 16000 THEN r.size + 1 ELSE 1 END, CASE WHEN (r.size + 1) * d.n_chars <= 16000 THEN r.batch ELSE r.batch + 1 END FROM r JOIN d ON d.lang = r.lang AND d.i = r.i + 1) SELECT lang, max(batch)::BIGINT AS batches, count(*) AS n FROM r GROUP BY 1")
 def _(t):
-    """Greedy batches of texts in the order of length, each at most 4,000 characters once padded to its longest, over
-    the stated set of every hundredth document. The fold is sequential: a language's lengths are one array."""
-    d = t("documents").where("doc_id % 100 = 0").groupBy("lang").agg(F.sort_array(F.collect_list("n_chars")).alias("a"))
-    fits = lambda s, x: (s["size"] + 1) * x <= 4000
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("batch"), F.array().cast("array<struct<batch: bigint, n_chars: bigint>>").alias("out"))
+    """Greedy batches of all texts in the order of length, each of at most 16,000 characters once padded to its longest (or
+    of one text). The fold is sequential, but goes over a language's distinct lengths with their counts, not its
+    texts: texts of one length fill the open batch and then whole ones."""
+    n = t("documents").groupBy("lang", F.coalesce("n_chars", F.lit(0)).cast("long").alias("len")).agg(F.count("*").alias("n"))
+    a = n.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("len", "n"))).alias("a"), F.sum("n").alias("n"))
+    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("batches"))
 
     def step(s, x):
-        batch = F.when((s["size"] == 0) | fits(s, x), s["batch"]).otherwise(s["batch"] + 1)
-        size = F.when(fits(s, x), s["size"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(size.alias("size"), batch.alias("batch"), F.array_append(s["out"], F.struct(batch.alias("batch"), x.cast("long").alias("n_chars"))).alias("out"))
-
-    return d.select("lang", F.inline(F.aggregate("a", start, step, lambda s: s["out"]))).groupBy("lang", "batch").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
+        room = F.when(x["len"] == 0, F.lit(1 << 60)).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(F.lit(16000) / x["len"])))
+        filled = F.when(s["batches"] == 0, F.lit(0).cast("long")).otherwise(F.least(x["n"], F.greatest(room - s["size"], F.lit(0).cast("long"))))
+        rest = x["n"] - filled
+        new = F.ceil(rest / room)
+        size = F.when(rest == 0, s["size"] + filled).otherwise(rest - (new - 1) * room)
+        return F.struct(size.cast("long").alias("size"), (s["batches"] + new).cast("long").alias("batches"))
+
+    return a.select("lang", F.aggregate("a", start, step, lambda s: s["batches"]).alias("batches"), "n")
 
 
 @query("spl4_label_coverage", "WITH c AS (SELECT DISTINCT l_returnflag || l_linestatus AS a, l_linenumber::VARCHAR AS b, l_returnflag || l_linestatus || l_linenumber AS k FROM lineitem), t AS (SELECT s, a, b, ('0x' || left(md5(k || '|' || s), 8))::BIGINT % 4 = 0 AS held FROM c, range(20) AS r(s)), ok AS (SELECT min(s) AS s FROM (SELECT s, count(DISTINCT a) FILTER (NOT held) = (SELECT count(DISTINCT a) FROM c) AND count(DISTINCT b) FILTER (NOT held) = (SELECT count(DISTINCT b) FROM c) AND bool_or(held) AS good FROM t GROUP BY 1) WHERE good) SELECT a, b, held, s::BIGINT AS seed FROM t JOIN ok USING (s)")
