@@ -248,3 +248,30 @@ def test_match_positions_against_a_loop(spark):
     for r in rows(spark, "str5_match_positions"):
         x = texts[r["doc_id"]]
         assert r["at"] == [i for i in range(len(x) - 2) if x[i : i + 3] == "the" and not word(x, i - 1) and not word(x, i + 3)]
+
+
+def test_pinned_entropy(spark):
+    r = rows(spark, "mth3_pinned_entropy")[0]
+    p = np.array([r["ratio"] ** i for i in range(8)])
+    p /= p.sum()
+    assert abs(r["entropy"] - 1.5) < 1e-5 and abs(-(p * np.log(p)).sum() - 1.5) < 1e-4
+
+
+def test_markov_symbols_move_by_drawn_steps(spark):
+    """Fifty symbols after the first, all four occurring, and staying (weight 4 of 8) about half of the time."""
+    found = rows(spark, "gra11_markov_source")
+    assert len(found) == 40 and all(len(r["symbols"]) == 51 and set(r["symbols"]) <= {0, 1, 2, 3} for r in found)
+    steps = [(b - a) % 4 for r in found for a, b in zip(r["symbols"], r["symbols"][1:])]
+    share = np.bincount(steps, minlength=4) / len(steps)
+    assert np.allclose(share, [4 / 8, 2 / 8, 1 / 8, 1 / 8], atol=0.05)
+
+
+def test_dfs_roots_against_a_search(spark):
+    """A root is valid if, for each closed edge, one end is on the other's path to the root."""
+    mazes = {r["maze"]: r.asDict() for r in structures.mazes(plans.base.Tables(spark, SMALL)).collect()}
+    n = structures.SIDE**2
+    for r in rows(spark, "gra5_dfs_roots")[:20]:
+        tree = structures._tree(mazes[r["maze"]])
+        closed = [e for e in structures._grid_edges() if e not in tree][:2]
+        fits = [root for root in range(n) if all(a in graph.shortest_path(n, tree, b, root) or b in graph.shortest_path(n, tree, a, root) for a, b in closed)]
+        assert r["roots"] == fits
