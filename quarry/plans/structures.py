@@ -143,11 +143,14 @@ def _(t):
 
 @query("gra5_dfs_roots")
 def _(t):
-    def roots(r):
-        tree = _tree(r)
-        return {"maze": r["maze"], "roots": graph.valid_dfs_roots(SIDE * SIDE, tree, [e for e in _grid_edges() if e not in tree][:2])}
+    """A batch of trees at a time; the drawn edges of a maze are not needed. A small file of ids is much work, so it is dealt out."""
 
-    return graph.per_row(mazes(t), roots, "maze long, roots array<int>")
+    def roots(p):
+        tree = graph.batch_trees(SIDE * SIDE, _grid_edges(), graph.drawn_orders(p.maze.to_numpy(), len(_grid_edges())))
+        return pd.DataFrame({"maze": p.maze, "roots": graph.batch_dfs_roots(SIDE * SIDE, _grid_edges(), tree, 2)})
+
+    tasks = max(t.spark.sparkContext.defaultParallelism, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    return graph.per_batch(mazes(t).select("maze").repartition(tasks), roots, "maze long, roots array<int>")
 
 
 @query("gra6_hamming", "SELECT a.vec_id, sum(CASE WHEN (x > 0) <> (y > 0) THEN 1 ELSE 0 END)::BIGINT AS d, ceil(sum(CASE WHEN (x > 0) <> (y > 0) THEN 1 ELSE 0 END) / 64 / 0.1 - 1e-9)::BIGINT AS bucket FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) a JOIN (SELECT vec_id - 1 AS vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS y FROM embeddings) b USING (vec_id, i) GROUP BY 1")

@@ -275,3 +275,19 @@ def test_dfs_roots_against_a_search(spark):
         closed = [e for e in structures._grid_edges() if e not in tree][:2]
         fits = [root for root in range(n) if all(a in graph.shortest_path(n, tree, b, root) or b in graph.shortest_path(n, tree, a, root) for a, b in closed)]
         assert r["roots"] == fits
+
+
+def test_drawn_trees_in_batches_equal_those_of_single_mazes():
+    """Seeds of one and of two 32-bit words, and negative ones; the roots of a batch are those of each tree alone."""
+    seeds = np.array([0, 1, 7, 14999, 899_999, 2**32 - 1, 2**32, 2**40 + 3, 2**62 + 5, -9, *range(1000, 1400)])
+    n, edges = structures.SIDE**2, structures._grid_edges()
+    order = graph.drawn_orders(seeds, len(edges))
+    assert all(order[i].tolist() == random.Random(int(s)).sample(range(len(edges)), len(edges)) for i, s in enumerate(seeds))
+    wide = graph.drawn_orders(seeds[:12], 200)  # more words than are read at once
+    assert all(wide[i].tolist() == random.Random(int(s)).sample(range(200), 200) for i, s in enumerate(seeds[:12]))
+    taken = graph.batch_trees(n, edges, order)
+    found = graph.batch_dfs_roots(n, edges, taken, 2)
+    for i, s in enumerate(seeds):
+        tree = structures._tree({"maze": s})
+        assert {e for e, t in zip(edges, taken[i]) if t} == set(tree)
+        assert found[i] == graph.valid_dfs_roots(n, tree, [e for e in edges if e not in tree][:2])
