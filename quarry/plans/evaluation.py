@@ -167,8 +167,9 @@ def layers(t):
 
 @query("evl15_earliest_layer", f"SELECT c, min(layer) FILTER (layer <= 6 AND v >= 0.7 * m) AS layer FROM (SELECT *, max(v) OVER (PARTITION BY c) AS m FROM {_LAYERS}) GROUP BY c")
 def _(t):
-    d = layers(t)
-    return d.join(d.groupBy("c").agg(F.max("v").alias("m")), "c").groupBy("c").agg(F.min(F.when((F.col("layer") <= 6) & (F.col("v") >= F.col("m") * 0.7), F.col("layer"))).alias("layer"))
+    """The limit gives way by 1e-12 of itself: sums of decimals that stand exactly at it are a few last digits off, by the order of their rows."""
+    d = layers(t).withColumn("m", F.max("v").over(Window.partitionBy("c")))
+    return d.groupBy("c").agg(F.min(F.when((F.col("layer") <= 6) & (F.col("v") >= F.col("m") * (0.7 * (1 - 1e-12))), F.col("layer"))).alias("layer"))
 
 
 @query("evl16_k50_k90", f"WITH x AS (SELECT c, layer, sum(v) OVER (PARTITION BY c ORDER BY layer) AS cum, sum(v) OVER (PARTITION BY c) AS full_ FROM {_LAYERS}) SELECT c, min(layer) FILTER (cum >= 0.5 * full_ - 1e-9) AS k50, min(layer) FILTER (cum >= 0.9 * full_ - 1e-9) AS k90 FROM x GROUP BY c")

@@ -291,3 +291,17 @@ def test_drawn_trees_in_batches_equal_those_of_single_mazes():
         tree = structures._tree({"maze": s})
         assert {e for e, t in zip(edges, taken[i]) if t} == set(tree)
         assert found[i] == graph.valid_dfs_roots(n, tree, [e for e in edges if e not in tree][:2])
+
+
+def test_earliest_layer_at_the_limit_and_without_supplier(spark, tmp_path):
+    """0.7 of the largest sum, exactly, in whichever order the discounts are added; rows without a supplier are a group too."""
+    at_limit = [x for k in range(1, 9) for x in (0.01 * k, 0.1, 0.3)]
+    data = []
+    for c in (None, *range(30)):
+        mine = random.Random(str(c)).sample(at_limit, len(at_limit))
+        cents = sum(round(100 * x) for x in mine)
+        data += [(c, 1, x) for x in mine] + [(c, 2, cents / 70)] + [(c, 3, cents / 70 - 1)]
+    rows_ = spark.createDataFrame(data, "l_suppkey long, l_linenumber int, l_discount double")
+    rows_.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = plans.QUERIES["evl15_earliest_layer"](spark, str(tmp_path)).collect()
+    assert {r["c"]: r["layer"] for r in found} == {c: 1 for c in (None, *range(30))}
