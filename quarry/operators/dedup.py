@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
+from . import alike
 
 
 def checkpointed(spark: SparkSession) -> None:
@@ -30,51 +30,32 @@ def first_by_aggregate(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*key, "_r.*")
 
 
-def frequent_shingles(sets: DataFrame, most: int = 1000, sample: int = 20_000) -> DataFrame:
-    """One row: `hot`, the (at most `most`) shingles that stand in over 1 % of a sample of about `sample` sets."""
-    share = max(1, sets.count() // sample)
-    drawn = sets.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(share)) == 0)
-    n = drawn.count()
-    top = drawn.select(F.explode("s").alias("h")).groupBy("h").count().where(F.col("count") > max(20, n // 100)).orderBy(F.desc("count"), "h").limit(most)
-    return top.agg(F.collect_list("h").alias("hot"))
+def shingle_keys(df: DataFrame, key: str, text: str, n: int = 8) -> DataFrame:
+    """(id, k1, k2): each text's shingle set, by 128 bits; written once, for several readers."""
+    checkpointed(df.sparkSession)
+    return alike.signatures(df, key, text, n).checkpoint()
 
 
-def shingle_pairs(df: DataFrame, key: str, text: str, n: int = 8, least: float = 0.6) -> DataFrame:
-    """(a, b, jaccard), a < b: pairs whose n-word shingle sets have at least that Jaccard likeness.
+def shingle_pairs(df: DataFrame, key: str, text: str, n: int = 8, least: float = 0.6, keys: DataFrame | None = None) -> DataFrame:
+    """(a, b, jaccard), a < b: pairs whose n-word shingle sets have at least that Jaccard likeness (see alike).
+    Texts that are equal as shingle sets are one set, by its smallest id. Ids are whole numbers, each in one row."""
+    keys = keys or shingle_keys(df, key, text, n)
+    return alike.alike(df, key, text, n, least, keys.groupBy("k1", "k2").agg(F.min("id").alias("first")))
 
-    Prefix filtering: a pair that alike shares one of the first |A| - ceil(least |A|) + 1 shingles of each side, in
-    any order that is the same for all: here by hash, but frequent shingles last, so boilerplate joins nothing
-    unless a text has little else. Only (id, size, shingle) rows of the prefixes are joined; the rest is
-    counted in the candidate pairs. Texts that are equal as shingle sets are joined once, as one set."""
-    checkpointed(df.sparkSession)
-    s = df.select(F.col(key).alias("id"), F.sort_array(F.transform(S.shingles(F.col(text), n), lambda x: F.xxhash64(x))).alias("s"))
-    sets = s.groupBy("s").agg(F.min("id").alias("id")).checkpoint()
-    k = F.size("s") - F.ceil(F.lit(least) * F.size("s")).cast("int") + 1
-    last = sets.join(F.broadcast(frequent_shingles(sets)))  # at most 1,000 shingles
-    prefix = last.select("id", F.size("s").alias("n"), F.slice(F.concat(F.array_except("s", "hot"), F.array_intersect("s", "hot")), F.lit(1), k).alias("p"))
-    p = prefix.select("id", "n", F.explode("p").alias("h"))
-    short = p.select(F.col("id").alias("a"), F.col("n").alias("na"), "h")
-    other = p.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
-    close = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
-    candidates = short.join(other, "h").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    full = candidates.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return full.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).where(F.col("jaccard") >= least)
-
-
-def shingle_classes(df: DataFrame, key: str, text: str, n: int = 8) -> DataFrame:
+
+def shingle_classes(df: DataFrame, key: str, text: str, n: int = 8, keys: DataFrame | None = None) -> DataFrame:
     """(id, first): for each text the smallest id of those with an equal set of n-word shingles, which
     is the id that stands for them in shingle_pairs."""
-    s = F.sort_array(F.transform(S.shingles(F.col(text), n), lambda x: F.xxhash64(x)))
-    each = df.select(F.col(key).alias("id"), s.alias("s")).select("id", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(7), "s", F.size("s")).alias("k2"))
+    each = keys or shingle_keys(df, key, text, n)
     return each.join(each.groupBy("k1", "k2").agg(F.min("id").alias("first")), ["k1", "k2"]).select("id", "first")
 
 
 def greedy_dropped(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id): texts dropped because an earlier kept text is alike: of equal shingle sets all but the
     first, and all of a set whose first is dropped."""
-    gone = greedy_kept(shingle_pairs(df, key, text)).select(F.col("b").alias("first"), F.lit(True).alias("gone"))
-    return shingle_classes(df, key, text).join(gone, "first", "left").where("id <> first OR gone").select("id")
+    keys = shingle_keys(df, key, text)
+    gone = greedy_kept(shingle_pairs(df, key, text, keys=keys)).select(F.col("b").alias("first"), F.lit(True).alias("gone"))
+    return shingle_classes(df, key, text, keys=keys).join(gone, "first", "left").where("id <> first OR gone").select("id")
 
 
 def greedy_kept(pairs: DataFrame, local_pairs: int = 1 << 16) -> DataFrame:

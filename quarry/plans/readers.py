@@ -112,9 +112,10 @@ def _(t):
 def _(t):
     """For each text the smallest id with an equal shingle set (its class), and how many other classes have a likeness of 0.6."""
     d = t("documents")
-    p = dedup.shingle_pairs(d, "doc_id", "text")
+    keys = dedup.shingle_keys(d, "doc_id", "text")
+    p = dedup.shingle_pairs(d, "doc_id", "text", keys=keys)
     links = p.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n"))
-    classes = dedup.shingle_classes(d, "doc_id", "text")
+    classes = dedup.shingle_classes(d, "doc_id", "text", keys=keys)
     return classes.join(links, "first", "left").select(F.col("id").alias("doc_id"), F.col("first").alias("class_id"), F.coalesce("n", F.lit(0)).alias("links"))
 
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from itertools import permutations
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars, stats
-from quarry.operators import asof, dedup, graph, order
+from quarry.operators import alike, asof, dedup, graph, order
 from quarry.plans.evaluation import isotonic
 from quarry.plans.joins import hungarian
 from quarry.sources import io
@@ -71,6 +72,49 @@ def test_near_pairs_equal_brute_force(spark):
     assert {(r["a"], r["b"]) for r in pairs.collect()} == expected
 
 
+def alike_by_loops(rows):
+    """Pairs of smallest ids of equal sets, by definition."""
+    first = {}
+    for i, t in sorted(rows):
+        w = re.findall("[a-z0-9']+", t.lower()) if t is not None else None
+        s = frozenset([None] if w is None else [tuple(w)] if len(w) <= 8 else [tuple(w[k : k + 8]) for k in range(len(w) - 7)])
+        first.setdefault(s, i)
+    sets = sorted((i, s) for s, i in first.items())
+    return {(a, b, round(len(x & y) / len(x | y), 9)) for a, x in sets for b, y in sets if a < b and len(x & y) / len(x | y) >= 0.6}
+
+
+def test_near_pairs_of_odd_texts_and_crowds(spark, monkeypatch):
+    """Null, empty, short and eight-word texts, texts that are mostly one frequent passage, copies and near copies in blocks,
+    and crowds split over several cells."""
+    r = random.Random(11)
+    word = lambda: "w%d" % r.randrange(5000)
+    base, passage = [word() for _ in range(60)], [word() for _ in range(40)]
+    texts = [None, None, "", " ", "one", "One!", "a b c d e f g h", "a b c d e f g h i", "b c d e f g h i", *["x " * k for k in (7, 8, 9, 30)]]
+    texts += [" ".join(base[: r.randrange(30, 61)]) for _ in range(60)]
+    texts += [" ".join(x if r.random() > 0.03 else word() for x in base) for _ in range(40)]
+    texts += [" ".join([word() for _ in range(r.randrange(0, 40))] + passage) for _ in range(120)]
+    texts += [" ".join(word() for _ in range(r.randrange(1, 80))) for _ in range(80)]
+    rows = [(3 * i - 100, t) for i, t in enumerate(texts + texts[::3])]
+    monkeypatch.setattr(alike, "CELL", 16)
+    monkeypatch.setattr(alike, "BLOCK_WORDS", 2000)
+    monkeypatch.setattr(alike, "PAIRS", 500)
+    found = dedup.shingle_pairs(spark.createDataFrame(rows, "id long, text string").repartition(3), "id", "text").collect()
+    assert sorted((r["a"], r["b"], round(r["jaccard"], 9)) for r in found) == sorted(alike_by_loops(rows))
+
+
+def test_near_pairs_write_no_whole_sets(spark, tmp_path):
+    """What is checkpointed is some bytes a text: whole sets of hashes were eight bytes a word."""
+    import os
+
+    r = random.Random(3)
+    rows = [(i, " ".join("w%d" % r.randrange(9999) for _ in range(400))) for i in range(300)]
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+    df, before = spark.createDataFrame(rows, "id long, text string"), size()
+    pairs = dedup.shingle_pairs(df, "id", "text")
+    assert pairs.count() == 0 and size() - before < 300 * 400
+    assert pairs.columns == ["a", "b", "jaccard"]
+
 def test_greedy_drops_by_kept_rows_only(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 6), (5, 7), (6, 7)], "a long, b long")
     assert {r["b"] for r in dedup.greedy_kept(pairs).collect()} == {2, 4, 6, 7}
