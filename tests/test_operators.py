@@ -133,6 +133,17 @@ def test_greedy_drops_equal_sets_and_their_members(spark):
     assert sorted(r["id"] for r in dedup.greedy_dropped(df, "id", "text").collect()) == [2, 3, 4, 6]
 
 
+def test_greedy_drop_writes_no_whole_sets(spark):
+    import os
+
+    r = random.Random(4)
+    rows = [(i, " ".join("w%d" % r.randrange(9999) for _ in range(400))) for i in range(300)]
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+    df, before = spark.createDataFrame(rows + [(300, rows[0][1])], "id long, text string"), size()
+    assert [r["id"] for r in dedup.greedy_dropped(df, "id", "text").collect()] == [300] and size() - before < 300 * 400
+
+
 @pytest.mark.parametrize("links,local", [(600, 1 << 16), (110, 0)])
 def test_greedy_settles_long_chains(spark, links, local):
     """Each row is like the next one only, so every second row goes."""
